@@ -27,7 +27,12 @@ from pyspark.sql import functions as F
 
 _DOUBTFUL = re.compile("[\x1c-\x1f]")
 _MARK = "\x00"
-_BATCH_CHARS = 2_000_000
+#: For texts of these characters alone, str.lower() is the normalizer and _RUNS the pre-tokenizer of the file.
+_OTHER = re.compile("[^\x00-\x7f\u00c0-\u012f\u0131-\u024f]|<\\|")
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Fixed value: the pre-tokenizer pattern that _RUNS reproduces.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BATCH_CHARS = 3_000_000
 
 
 class PieceEncoder:
@@ -49,6 +54,14 @@ class PieceEncoder:
         # removed white space is what makes pieces independent; a tokenizer that keeps it is used whole
         self.split = any(s.get("type") == "Split" and s.get("behavior") == "Removed" for s in steps)
         self.vocab_size = self.tok.get_vocab_size()
+        # the pre-tokenizer and normalizer that _RUNS and lower() stand for; any other file takes the general way
+        steps_ = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split_by = [x["pattern"].get("Regex") for x in steps if x.get("type") == "Split"]
+        self.plain = steps_ == ["NFC", "Replace", "Lowercase"] and split_by == [_SPLIT] and steps[-1].get("type") == "ByteLevel"
+        self.words: dict[str, bytes] = {}
+        # byte-level letters: printable bytes stand for themselves, the others for 256 and on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
         mark = self.tok.encode(f"a {_MARK} a", add_special_tokens=False).ids if self.split else []
         self.mark = mark[1] if len(mark) == 3 and mark.count(mark[1]) == 1 else None
         self.memo_size, self.leaf, self.memo, self.met = memo, leaf, {}, np.zeros(1 << 23, bool)
@@ -57,6 +70,27 @@ class PieceEncoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of many short pieces. Plain ones are cut into pre-tokens here and merged word by word, with a memo."""
+        if not self.plain:
+            return self._marked(pieces)
+        out: list = [None] * len(pieces)
+        odd = [k for k, p in enumerate(pieces) if _OTHER.search(p)] if _OTHER.search(" ".join(pieces)) else []
+        for k, ids in zip(odd, self._marked([pieces[k] for k in odd]), strict=True):
+            out[k] = ids
+        if len(self.words) > self.memo_size:
+            self.words.clear()
+        words, merge, letters = self.words, self.bare.model.tokenize, self.letters
+        for k, p in enumerate(pieces):
+            if out[k] is None:
+                runs = _RUNS.findall(p.lower())
+                for r in runs:
+                    if r not in words:
+                        word = r if r.isascii() and r.isalnum() else r.encode().decode("latin-1").translate(letters)
+                        words[r] = np.array([t.id for t in merge(word)], "<u4").tobytes()
+                out[k] = words[runs[0]] if len(runs) == 1 else b"".join([words[r] for r in runs])
+        return out
+
+    def _marked(self, pieces: list[str]) -> list[bytes]:
         """Ids of many short pieces: they are joined by a mark that is always one known id and no piece holds."""
         if self.mark is None or any(_MARK in p for p in pieces):
             return self._whole(pieces)
@@ -95,17 +129,16 @@ class PieceEncoder:
         slots = np.fromiter(map(hash, short), np.int64, len(short)) & (len(self.met) - 1)
         again = self.met[slots]
         self.met[slots] = True
-        if len(self.memo) + int(again.sum()) > self.memo_size:
-            found |= {p: self.memo[p] for p in known.difference(found, long)}
-            self.memo = {}
-        self.memo.update((p, found[p]) for p in itertools.compress(short, again.tolist()))
-        found |= {p: self.tree(p).astype("<u4").tobytes() for p in long}
         memo = self.memo
+        local = {p: memo[p] for p in known if p in memo} | found | {p: self.tree(p).astype("<u4").tobytes() for p in long}
+        if len(memo) + int(again.sum()) > self.memo_size:
+            memo.clear()
+        memo.update((p, found[p]) for p in itertools.compress(short, again.tolist()))
         for t, p in zip(texts, pieces, strict=True):
             if p is None:
                 yield np.frombuffer(self._whole([t])[0], "<u4")
             else:
-                yield np.frombuffer(b"".join([found[x] if x in found else memo[x] for x in p]), "<u4")
+                yield np.frombuffer(b"".join(map(local.__getitem__, p)), "<u4")
 
     def tree(self, piece: str) -> np.ndarray:
         """Ids of one long piece without white space, by tree concatenation."""
