@@ -74,11 +74,11 @@ def _slide(v: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(suffix[: n - w + 1], prefix[w - 1 : n])
 
 
-def anchor_positions(values: np.ndarray, w: int) -> np.ndarray:
-    """Positions that are the minimum of some window of w values; all of them where several tie."""
+def anchor_positions(values: np.ndarray, w: int, usable: np.ndarray) -> np.ndarray:
+    """Positions that are the minimum of some usable window of w values; all of them where several tie."""
     if len(values) < w:
         return np.empty(0, np.int64)
-    low = _slide(values, w, np.minimum)
+    low = np.where(usable, _slide(values, w, np.minimum), 0)  # values are never 0
     edge = np.zeros(w - 1, values.dtype)
     return np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum) == values)
 
@@ -97,13 +97,11 @@ def _anchors(df: DataFrame, span: int) -> DataFrame:
             keys = np.frombuffer(b"".join(hashlib.md5(r).digest() for r in raws), "<i8").reshape(-1, 2)
             one.load(raw), two.load(raw)
             at = np.arange(len(raw) - GRAM + 1)
-            value = one.of(at, at + GRAM) >> np.uint64(1)
-            outside = np.zeros(len(at), bool)
+            value = (one.of(at, at + GRAM) >> np.uint64(1)) | np.uint64(1)
+            usable = np.ones(len(raw) - span + 1, bool)  # windows that lie in one text
             for e in ends[:-1].tolist():
-                outside[e - GRAM + 1 : e] = True
-            value[outside] = np.uint64(2**63)
-            p = anchor_positions(value, span - GRAM + 1)
-            p = p[~outside[p]]
+                usable[e - span + 1 : e] = False
+            p = anchor_positions(value, span - GRAM + 1, usable)
             doc = np.searchsorted(ends, p, "right")
             begin = np.maximum(p - (span - GRAM), ends[doc] - sizes[doc])
             end = np.minimum(p + span, ends[doc])
