@@ -2,14 +2,15 @@
 
 A byte is removed if a ``span``-byte string that covers it also starts anywhere else, in another or the same text.
 
-1. Anchors. The hash minima of every window of span - GRAM + 1 grams are anchors, so any span-byte string holds one, at
-   the same place in each of its occurrences. An anchor's context is what a span-byte string around it can reach.
+1. Anchors. Each span-byte window belongs to its gram of smallest hash (the leftmost, where several tie), so equal windows
+   belong to equal grams at the same offset. An anchor is such a gram with its run of windows; their union is its context.
 2. Only anchors met at two or more places go on, and of equal contexts one, with its multiplicity. A context met twice
    is covered whole.
-3. Contexts are dealt to shards by anchor. Each shard builds one suffix array of its contexts by induced sorting, and
-   permuted common prefixes; runs of common prefixes of span or more are the repeated strings.
-4. An anchor whose distinct contexts are too many for one shard is not capped: their span-byte windows are hashed
-   (128 bits) and counted in a shuffle with map-side sums instead.
+3. Contexts are dealt to shards by anchor. In a shard they are cut into pieces of BLOCK windows. A piece whose core (what
+   all its windows share) no other piece has cannot repeat; equal pieces are one. Of the rest each shard builds one suffix
+   array by induced sorting, and permuted common prefixes; runs of common prefixes of span or more are repeated strings.
+4. An anchor whose distinct contexts are too many for one shard is not capped: its pieces, and then the windows of those
+   pieces that stay open, are counted by 128-bit hashes in shuffles with map-side sums instead.
 5. Covered stretches go back to every occurrence of their context, are merged per text, and cut out.
 
 Texts are keyed by a 128-bit digest, so equal rows and null or repeated doc_ids need no special care: equal texts are
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .suffix import permuted_common_prefixes, suffix_array
 
-GRAM, SHARD_BYTES, ANCHOR_BYTES = 80, 1_500_000, 1_000_000
+GRAM, BLOCK, SHARD_BYTES, ANCHOR_BYTES, SORT_BYTES = 80, 32, 4_000_000, 2_000_000, 1_500_000
+_LONG = 8_000_000
 _CTX = ["fp", "c1", "c2", "size"]
 
 
@@ -65,22 +67,26 @@ class _Rolling:
         return _mix((self.sums[end] - self.sums[begin]) * self.down[begin])
 
 
-def _slide(v: np.ndarray, w: int, pick) -> np.ndarray:
-    """pick (minimum or maximum) over each window of w values."""
+def _slide_min(v: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each window of w values."""
     n = len(v)
     blocks = np.concatenate([v, np.full(-n % w, v[-1])]).reshape(-1, w)
-    prefix = pick.accumulate(blocks, axis=1).ravel()
-    suffix = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return pick(suffix[: n - w + 1], prefix[w - 1 : n])
+    prefix = np.minimum.accumulate(blocks, axis=1).ravel()
+    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(suffix[: n - w + 1], prefix[w - 1 : n])
 
 
-def anchor_positions(values: np.ndarray, w: int, usable: np.ndarray) -> np.ndarray:
-    """Positions that are the minimum of some usable window of w values; all of them where several tie."""
-    if len(values) < w:
-        return np.empty(0, np.int64)
-    low = np.where(usable, _slide(values, w, np.minimum), 0)  # values are never 0
-    edge = np.zeros(w - 1, values.dtype)
-    return np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum) == values)
+def owners(values: np.ndarray, w: int, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, last window) of each run of usable windows with the same smallest value.
+
+    values: 40-bit hashes; positions fit 24 bits.
+    """
+    low = _slide_min((values << np.uint64(24)) | np.arange(len(values), dtype=np.uint64), w)
+    owner = np.where(usable, (low & np.uint64(0xFFFFFF)).astype(np.int64), -1)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    last = np.append(first[1:], len(owner)) - 1
+    real = owner[first] >= 0
+    return owner[first][real], first[real], last[real]
 
 
 def _anchors(df: DataFrame, span: int) -> DataFrame:
@@ -90,25 +96,25 @@ def _anchors(df: DataFrame, span: int) -> DataFrame:
         one, two = _Rolling(1, 0x9E3779B97F4A7C15), _Rolling(2, 0xC2B2AE3D27D4EB4F)
         names = ["k1", "k2", "pos", "fp", "c1", "c2", "left", "size"]
 
-        def emit(raws):
+        def emit(raws, key=None, shift=0):
             sizes = np.array([len(r) for r in raws])
             raw = np.frombuffer(b"".join(raws), np.uint8)
             ends = np.cumsum(sizes)
-            keys = np.frombuffer(b"".join(hashlib.md5(r).digest() for r in raws), "<i8").reshape(-1, 2)
+            keys = np.frombuffer(key or b"".join(hashlib.md5(r).digest() for r in raws), "<i8").reshape(-1, 2)
             one.load(raw), two.load(raw)
             at = np.arange(len(raw) - GRAM + 1)
-            value = (one.of(at, at + GRAM) >> np.uint64(1)) | np.uint64(1)
+            value = one.of(at, at + GRAM)
             usable = np.ones(len(raw) - span + 1, bool)  # windows that lie in one text
             for e in ends[:-1].tolist():
                 usable[e - span + 1 : e] = False
-            p = anchor_positions(value, span - GRAM + 1, usable)
+            p, begin, last = owners(value >> np.uint64(24), span - GRAM + 1, usable)
+            end = last + span
             doc = np.searchsorted(ends, p, "right")
-            begin = np.maximum(p - (span - GRAM), ends[doc] - sizes[doc])
-            end = np.minimum(p + span, ends[doc])
             left, size = (p - begin).astype(np.int32), (end - begin).astype(np.int32)
             c1 = one.of(begin, end) ^ _mix(left.astype(np.uint64) + np.uint64(7))
             c2 = two.of(begin, end) ^ _mix(size.astype(np.uint64) + np.uint64(77))
-            cols = [keys[doc, 0], keys[doc, 1], p - (ends[doc] - sizes[doc]), value[p].astype(np.int64), c1.view(np.int64), c2.view(np.int64), left, size]
+            pos = p - (ends[doc] - sizes[doc]) + shift
+            cols = [keys[doc, 0], keys[doc, 1], pos, value[p].view(np.int64), c1.view(np.int64), c2.view(np.int64), left, size]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)
 
         held, size = [], 0
@@ -116,7 +122,11 @@ def _anchors(df: DataFrame, span: int) -> DataFrame:
             for t in b.column(0):
                 t = t.as_py()
                 raw = t.encode() if t else b""
-                if len(raw) >= span:
+                if len(raw) > _LONG:  # a run cut between chunks is two anchors with part of the windows each
+                    key = hashlib.md5(raw).digest()
+                    for k in range(0, len(raw) - span + 1, _LONG):
+                        yield emit([raw[k : k + _LONG + span - 1]], key, k)
+                elif len(raw) >= span:
                     held.append(raw)
                     size += len(raw)
                     if size >= 1_000_000:
@@ -178,6 +188,64 @@ def covered(contexts: list[bytes], counts: np.ndarray, places: list[tuple], span
     return out
 
 
+class _Pieces:
+    """Contexts of known anchors cut into aligned pieces of ``block`` windows, with hashes of their hulls and cores."""
+
+    def __init__(self, raws: list[bytes], lefts: np.ndarray, fps: np.ndarray, span: int, block: int):
+        self.sizes = np.array([len(r) for r in raws], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        buffer = np.frombuffer(b"".join(raws), np.uint8)
+        one, two = _Rolling(3, 0x9E3779B97F4A7C15).load(buffer), _Rolling(4, 0xC2B2AE3D27D4EB4F).load(buffer)
+        # offsets of windows from the anchor run from left down to left - windows + 1
+        most = np.asarray(lefts, np.int64)
+        least = most - (self.sizes - span)
+        count = most // block - least // block + 1
+        self.ctx = np.repeat(np.arange(len(raws)), count)
+        k = most[self.ctx] // block - (np.arange(len(self.ctx)) - np.repeat(np.cumsum(count) - count, count))
+        top, low = np.minimum(most[self.ctx], k * block + block - 1), np.maximum(least[self.ctx], k * block)
+        anchor = self.begins[self.ctx] + most[self.ctx]
+        self.lo, self.hi = most[self.ctx] - top, most[self.ctx] - low + span  # the hull in its context
+        at, to = anchor - top, anchor - low + span
+        salt = _mix(k.astype(np.uint64) + np.uint64(11)) ^ np.asarray(fps, np.int64)[self.ctx].view(np.uint64)
+        self.core = one.of(anchor - k * block, anchor - (k * block + block - 1) + span) ^ salt
+        shape = _mix(((most[self.ctx] - top - most[self.ctx]) & 0xFFFF).astype(np.uint64) << np.uint64(16) | (to - at).astype(np.uint64))
+        self.h1, self.h2 = one.of(at, to) ^ salt ^ shape, two.of(at, to) ^ _mix(salt)
+
+
+def covered_contexts(raws: list[bytes], lefts: np.ndarray, fps: np.ndarray, counts: np.ndarray, places: list[tuple], span: int) -> list[tuple[int, int, int]]:
+    """(context, begin, end) of covered stretches of the distinct contexts of a shard."""
+    if not raws:
+        return []
+    p = _Pieces(raws, lefts, fps, span, BLOCK)
+    _, first, hull = np.unique(np.stack([p.h1, p.h2], axis=1), axis=0, return_index=True, return_inverse=True)
+    hull = hull.ravel()
+    times = np.bincount(hull, counts[p.ctx]).astype(np.int64)
+    _, group = np.unique(p.core[first], return_inverse=True)
+    kinds = np.bincount(group)[group]
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(first))]
+    for h in np.flatnonzero(times > 1).tolist():
+        out[h].append((0, int(p.hi[first[h]] - p.lo[first[h]])))
+    # pieces that share their core with another one are told apart by the suffix array
+    rest = np.flatnonzero(kinds > 1)
+    at = first[rest]
+    texts = [raws[c][a:b] for c, a, b in zip(p.ctx[at].tolist(), p.lo[at].tolist(), p.hi[at].tolist(), strict=True)]
+    where = [(places[c][0], places[c][1] + a) for c, a in zip(p.ctx[at].tolist(), p.lo[at].tolist(), strict=True)]
+    begin = 0
+    order = np.argsort(group[rest], kind="stable")  # pieces of one core stay in one suffix array
+    sizes = np.array([len(texts[k]) for k in order])
+    ends = np.cumsum(sizes)
+    borders = np.flatnonzero(np.concatenate([group[rest][order][1:] != group[rest][order][:-1], [True]])) if len(order) else []
+    start = 0
+    for stop in borders:
+        if ends[stop] - begin < SORT_BYTES and stop != borders[-1]:
+            continue
+        own = order[start : stop + 1].tolist()
+        for k, found in zip(own, covered([texts[k] for k in own], times[rest[own]], [where[k] for k in own], span), strict=True):
+            out[int(rest[k])] += found
+        start, begin = int(stop) + 1, int(ends[stop])
+    return [(int(c), int(a) + s, int(a) + e) for c, a, h in zip(p.ctx.tolist(), p.lo.tolist(), hull.tolist(), strict=True) for s, e in out[h]]
+
+
 def repeated_spans(df: DataFrame, span: int = 400, *, shard_bytes: int = SHARD_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """df(doc_id, text) -> k1, k2, spans array<struct<s, e>>: the removed byte stretches, not yet merged, of each text."""
     spark = df.sparkSession
@@ -198,55 +266,70 @@ def repeated_spans(df: DataFrame, span: int = 400, *, shard_bytes: int = SHARD_B
         for b in batches:
             for k1, k2, text, want in zip(*(b.column(k) for k in range(4)), strict=True):
                 raw, rows = (text.as_py() or "").encode(), want.as_py()
-                cols = {c: [r[c] for r in rows] for c in (*_CTX, "n", "total")}
+                cols = {c: [r[c] for r in rows] for c in (*_CTX, "n", "total", "left")}
                 begin = [r["pos"] - r["left"] for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.array(cols[c], pa.int32() if c == "size" else pa.int64()) for c in (*_CTX, "n", "total")),
+                        *(pa.array(cols[c], pa.int32() if c in ("size", "left") else pa.int64()) for c in (*_CTX, "n", "total", "left")),
                         pa.array([k1.as_py()] * len(rows), pa.int64()), pa.array([k2.as_py()] * len(rows), pa.int64()), pa.array(begin, pa.int64()),
                         pa.array([raw[s : s + r["size"]] for s, r in zip(begin, rows, strict=True)], pa.binary()),
                     ],
-                    [*_CTX, "n", "total", "k1", "k2", "begin", "raw"],
+                    [*_CTX, "n", "total", "left", "k1", "k2", "begin", "raw"],
                 )
 
-    pieces = texts.select("k1", "k2", "text", "want").mapInArrow(cut, "fp long, c1 long, c2 long, size int, n long, total long, k1 long, k2 long, begin long, raw binary")
+    pieces = texts.select("k1", "k2", "text", "want").mapInArrow(cut, "fp long, c1 long, c2 long, size int, n long, total long, left int, k1 long, k2 long, begin long, raw binary")
     pieces = materialize(pieces, "pieces")
     small, big = pieces.filter(F.col("total") <= anchor_bytes), pieces.filter(F.col("total") > anchor_bytes)
     held = small.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-held // shard_bytes))
 
     def shard(table: pa.Table) -> pa.Table:
-        seen, rows = set(), []
-        for r in table.select(["fp", "c1", "c2", "size", "n", "k1", "k2", "begin", "raw"]).to_pylist():
-            key = (r["fp"], r["c1"], r["c2"], r["size"])
-            if key not in seen:  # rows repeated in the input bring a context twice
-                seen.add(key)
-                rows.append(r)
-        found = covered([r["raw"] for r in rows], np.array([r["n"] for r in rows]), [((r["k1"], r["k2"]), r["begin"]) for r in rows], span)
-        flat = [(r["fp"], r["c1"], r["c2"], r["size"], s, e) for r, spans in zip(rows, found, strict=True) for s, e in spans]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.table([pa.array([x[k] for x in flat], t) for k, t in enumerate(kinds)], names=[*_CTX, "s", "e"])
+        # rows repeated in the input bring a context twice
+        table = table.combine_chunks()
+        ids = np.stack([table[c].to_numpy() for c in ("fp", "c1", "c2")], axis=1)
+        _, keep = np.unique(ids, axis=0, return_index=True)
+        t = table.take(pa.array(keep))
+        ids = ids[keep]
+        places = list(zip(zip(t["k1"].to_pylist(), t["k2"].to_pylist(), strict=True), t["begin"].to_pylist(), strict=True))
+        found = covered_contexts(t["raw"].to_pylist(), t["left"].to_numpy(), ids[:, 0], t["n"].to_numpy(), places, span)
+        f = np.array(found, np.int32).reshape(-1, 3)
+        return pa.table([*(pa.array(ids[f[:, 0], k]) for k in range(3)), pa.array(t["size"].to_numpy()[f[:, 0]]), pa.array(f[:, 1]), pa.array(f[:, 2])], names=[*_CTX, "s", "e"])
 
     # contexts of one anchor share a shard
     dealt = small.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards)))
     parts = dealt.groupBy("shard").applyInArrow(shard, "fp long, c1 long, c2 long, size int, s int, e int")
 
-    def windows(batches):
-        one, two = _Rolling(3, 0x9E3779B97F4A7C15), _Rolling(4, 0xC2B2AE3D27D4EB4F)
-        for b in batches:
-            for row in b.to_pylist():
-                raw = np.frombuffer(row["raw"], np.uint8)
-                one.load(raw), two.load(raw)
-                at = np.arange(len(raw) - span + 1)
-                h1, h2 = one.of(at, at + span).view(np.int64), two.of(at, at + span).view(np.int64)
-                full = [np.full(len(at), row[c]) for c in ("fp", "c1", "c2")]
-                where = np.full(len(at), row["k1"]) ^ (row["begin"] + at).astype(np.int64) * np.int64(0x2545F4914F6CDD1D)
-                cols = [*full, np.full(len(at), row["size"], np.int32), at.astype(np.int32), h1, h2, where, np.full(len(at), row["n"])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*_CTX, "s", "h1", "h2", "place", "n"])
-
-    every = big.select(*_CTX, "n", "k1", "begin", "raw").mapInArrow(windows, "fp long, c1 long, c2 long, size int, s int, h1 long, h2 long, place long, n long")
-    shared = every.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi")).filter("n > 1 or lo < hi").select("h1", "h2")
-    parts = parts.unionByName(every.join(shared, ["h1", "h2"], "left_semi").select(*_CTX, "s", (F.col("s") + span).alias("e")).distinct()) if _any(big) else parts
+    def hashed(block: int, chosen: bool):
+        """Pieces of ``block`` windows of the contexts, or of the pieces (s, e) of them that are given."""
+
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 1000):
+                    some = b.slice(at, 1000)
+                    raws, left, base = some.column("raw").to_pylist(), some.column("left").to_numpy(), np.zeros(some.num_rows, np.int64)
+                    if chosen:
+                        base, stop = some.column("s").to_numpy(), some.column("e").to_numpy()
+                        raws, left = [r[x:y] for r, x, y in zip(raws, base.tolist(), stop.tolist(), strict=True)], left - base
+                    p = _Pieces(raws, left, some.column("fp").to_numpy(), span, block)
+                    ids = [some.column(c).to_numpy()[p.ctx] for c in _CTX]
+                    cols = [*ids, (base[p.ctx] + p.lo).astype(np.int32), (base[p.ctx] + p.hi).astype(np.int32), p.core.view(np.int64), p.h1.view(np.int64), p.h2.view(np.int64), some.column("n").to_numpy()[p.ctx]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [*_CTX, "s", "e", "core", "h1", "h2", "n"])
+
+        return run
+
+    if _any(big):
+        kind = "fp long, c1 long, c2 long, size int, s int, e int, core long, h1 long, h2 long, n long"
+        known = big.dropDuplicates(_CTX)
+        rows = known
+        for block in (8, 1):
+            cut_up = materialize(rows.mapInArrow(hashed(block, block == 1), kind), "cut-up")
+            hulls = cut_up.groupBy("core", "h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct(*_CTX, "s", "e")).alias("one"))
+            hulls = materialize(hulls, "hulls")
+            whole = cut_up.join(hulls.filter("n > 1").select("h1", "h2"), ["h1", "h2"], "left_semi").select(*_CTX, "s", "e")
+            parts = parts.unionByName(whole.distinct())
+            if block > 1:  # one of each kind of piece whose core has several goes on to its single windows
+                shared = hulls.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("core")
+                rows = hulls.join(shared, "core", "left_semi").select("one.*", "n").join(known.select(*_CTX, "left", "raw"), _CTX)
     sure = contexts.filter((F.col("n") > 1) & (F.col("size") >= span)).select(*_CTX, F.lit(0).alias("s"), F.col("size").alias("e"))
     found = places.join(sure.unionByName(parts), _CTX)
     begin = F.col("pos") - F.col("left")
@@ -271,10 +354,10 @@ def _keyed(df: DataFrame, *more: str) -> DataFrame:
     return df.select("doc_id", half(1).alias("k1"), half(17).alias("k2"), *[F.col(c) for c in more])
 
 
-def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None, **sizes: int) -> DataFrame:
     """The columns ``keep`` of df (doc_id by default), n_bytes, kept (the remaining bytes), spans (removed, merged)."""
     keep = keep or ["doc_id"]
-    spans = repeated_spans(df, span)
+    spans = repeated_spans(df, span, **sizes)
     rows = _keyed(df.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*keep).alias("__kept")), "text", "__kept").join(spans, ["k1", "k2"], "left")
 
     def run(batches):
