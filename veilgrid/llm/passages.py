@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .suffix import permuted_common_prefixes, suffix_array
 
-GRAM, BLOCK, SHARD_BYTES, ANCHOR_BYTES, SORT_BYTES = 80, 32, 4_000_000, 2_000_000, 1_500_000
+GRAM, BLOCK, SHARD_BYTES, ANCHOR_BYTES, SORT_BYTES = 80, 32, 1_500_000, 1_000_000, 700_000
 _LONG = 8_000_000
 _CTX = ["fp", "c1", "c2", "size"]
 
@@ -129,7 +129,7 @@ def _anchors(df: DataFrame, span: int) -> DataFrame:
                 elif len(raw) >= span:
                     held.append(raw)
                     size += len(raw)
-                    if size >= 1_000_000:
+                    if size >= 500_000:
                         yield emit(held)
                         held, size = [], 0
         if held:
