@@ -250,7 +250,8 @@ def repeated_spans(df: DataFrame, span: int = 400, *, shard_bytes: int = SHARD_B
     """df(doc_id, text) -> k1, k2, spans array<struct<s, e>>: the removed byte stretches, not yet merged, of each text."""
     spark = df.sparkSession
     anchors = materialize(_anchors(df, span), "anchors")
-    twice = anchors.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    # written first, so that the join below has plain exchanges on both sides and a hot anchor's rows can be split
+    twice = materialize(anchors.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp"), "met-twice")
     places = materialize(anchors.join(twice, "fp", "left_semi"), "places")
     contexts = places.groupBy(*_CTX).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "pos", "left")).alias("one"))
     contexts = materialize(contexts, "contexts")
