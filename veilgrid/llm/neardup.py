@@ -4,8 +4,9 @@ The weight of a shingle (five words) is its count in the text. Each shingle send
 rate to random signature slots; a slot keeps its first arrival, and a shingle stops once its next arrival comes after
 every slot's. Two signatures agree in a slot with the probability Jaccard similarity of their texts.
 
-Equal texts are one node. Nodes that agree in a band share a bucket. In a bucket every node is compared with the smallest
-one, never all with all; nodes that this leaves in another component are then compared with the rest of their buckets.
+Equal texts are one node. Nodes that agree in a band share a bucket. In a bucket every node is compared with three leaders,
+never all with all; nodes that this leaves outside their bucket's largest component are then compared with the bucket's
+nodes of other components.
 So every pair that shares a bucket is verified or already connected, and no link between classes is lost. Similarities
 are exact. Components are found by star contraction, with each round written to the shared folder.
 
@@ -189,22 +190,27 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     """df(doc_id, text) -> key, class_id, class_texts: each distinct text's key, its class and the class's distinct texts."""
     nodes = _nodes(df, words, bands, rows)
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    leaders = members.groupBy("band", "value").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "value", "leader")
+    # three leaders a bucket: its smallest node, often shared by buckets, and two that differ from bucket to bucket
+    drawn = [F.min_by("node", F.xxhash64("node", "band", "value", F.lit(k))).alias(f"l{k}") for k in (1, 2)]
+    leaders = members.groupBy("band", "value").agg(F.min("node").alias("l0"), *drawn, F.count("*").alias("n")).filter("n > 1")
     buckets = materialize(members.join(leaders, ["band", "value"]), "buckets")
-    near = materialize(buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = buckets.select("node", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("leader")).filter("node <> leader")
+    near = materialize(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
     # texts of the nodes that are in any bucket; where rows share doc_id and text, one of them
     busy = nodes.select("node", "key", F.col("doc_id").alias("first_id")).join(buckets.select("node").distinct(), "node", "left_semi")
     source = df.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
     texts = materialize(source.join(busy, "key").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", F.coalesce("text", F.lit("")).alias("text")), "texts").dropDuplicates(["node"])
     links = materialize(_verified(near, texts, words, threshold), "links")
     found = components(links)
-    # nodes that their bucket's leader did not bring into its component meet the rest of the bucket
-    root = buckets.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    root = root.join(found.select(F.col("node").alias("leader"), F.col("root").alias("leader_root")), "leader", "left").withColumn("leader_root", F.coalesce("leader_root", "leader"))
-    root = materialize(root.select("band", "value", "node", "root", "leader", "leader_root"), "roots")
-    apart = root.filter((F.col("root") != F.col("leader_root")) & (F.col("node") != F.col("leader")))
-    rest = apart.select("band", "value", F.col("node").alias("x"), F.col("root").alias("x_root")).join(root.filter("node <> leader").select("band", "value", F.col("node").alias("y"), F.col("root").alias("y_root")), ["band", "value"])
+    # nodes outside the largest component of their bucket meet all of the bucket that is in another one
+    root = buckets.select("band", "value", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = root.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "value", "main")
+    root = materialize(root.join(largest, ["band", "value"]), "roots")
+    apart = root.filter("root <> main").select("band", "value", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    rest = apart.join(root.select("band", "value", F.col("node").alias("y"), F.col("root").alias("y_root")), ["band", "value"])
     rest = rest.filter("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rest = rest.join(near, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, texts, words, threshold))
