@@ -6,7 +6,7 @@ every slot's. Two signatures agree in a slot with the probability Jaccard simila
 
 Equal texts are one node. Nodes that agree in a band share a bucket. In a bucket every node is compared with three leaders,
 never all with all; nodes that this leaves outside their bucket's largest component are then compared with the bucket's
-nodes of other components.
+nodes of other components: pair by pair in small buckets, block by block with matrix products in crowded ones.
 So every pair that shares a bucket is verified or already connected, and no link between classes is lost. Similarities
 are exact. Components are found by star contraction, with each round written to the shared folder.
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize, text_key
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
+CROWD, BLOCK = 32, 400
 _CHUNK = 1_000_000
 _M = np.uint64(0xFFFFFFFFFFFF)
 _random = np.random.default_rng(8)
@@ -166,6 +167,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
+def block_links(nodes: list[int], roots: list[int], sides: list[int], texts: list[str], words: int, threshold: float) -> list[tuple[int, int, float]]:
+    """Links between nodes of two blocks (sides 0 and 1), or within one, enough to connect what is similar.
+
+    A pair's similarity is at most the weight share that either text has in common shingles: matrix products give that
+    for all pairs of the blocks, and the exact similarity is taken where it reaches the threshold and the two are not
+    connected yet.
+    """
+    doc, value, count = shingles(texts, words)
+    n = len(texts)
+    cuts = np.searchsorted(doc, np.arange(n + 1))
+    total = np.bincount(doc, count, minlength=n)
+    _, column, often = np.unique(value, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    rank = np.cumsum(often > 1) - 1
+    column, rows, weight = rank[column[shared]], doc[shared], (count / total[doc])[shared].astype(np.float32)
+    order = np.argsort(column, kind="stable")
+    column, rows, weight = column[order], rows[order], weight[order]
+    side = np.array(sides)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    common, back = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        w = np.zeros((n, 4096), np.float32)
+        w[rows[lo:hi], column[lo:hi] - at] = weight[lo:hi]
+        has = (w > 0).astype(np.float32)
+        common += w[left] @ has[right].T
+        back += has[left] @ w[right].T
+    near = np.argwhere(np.minimum(common, back) >= threshold - 1e-4)
+    near = near[np.argsort(-np.minimum(common, back)[near[:, 0], near[:, 1]], kind="stable")]
+    parent = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    out = []
+    for i, j in zip(left[near[:, 0]].tolist(), right[near[:, 1]].tolist(), strict=True):
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            s = similarity(value[cuts[i] : cuts[i + 1]], count[cuts[i] : cuts[i + 1]], value[cuts[j] : cuts[j + 1]], count[cuts[j] : cuts[j + 1]])
+            if s >= threshold - 1e-12:
+                parent[max(a, b)] = min(a, b)
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), s))
+    return out
+
+
+def _crowded(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Links in crowded buckets: rows(band, value, node, root, n) in blocks, each pair of blocks a task's work."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
+
+    def run(t: pa.Table) -> pa.Table:
+        found = block_links(*(t[c].to_pylist() for c in ("node", "root", "side", "text")), words, threshold)
+        return pa.table([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+    return dealt.join(texts, "node").groupBy("band", "value", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> node, root: each node of a link with the smallest node of its component, by star contraction."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
@@ -204,17 +267,19 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     found = components(links)
     # nodes outside the largest component of their bucket meet all of the bucket that is in another one
     root = buckets.select("band", "value", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = root.groupBy("band", "value", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "value", "main")
-    root = materialize(root.join(largest, ["band", "value"]), "roots")
-    apart = root.filter("root <> main").select("band", "value", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    rest = apart.join(root.select("band", "value", F.col("node").alias("y"), F.col("root").alias("y_root")), ["band", "value"])
+    sizes = root.groupBy("band", "value", "root").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+    open_ = sizes.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).filter("parts > 1")
+    # buckets of equal nodes are one
+    open_ = open_.groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "value", "main")).alias("b")).select("b.*", "n")
+    root = materialize(root.join(open_, ["band", "value"]), "roots")
+    few, many = root.filter(F.col("n") <= CROWD), root.filter(F.col("n") > CROWD)
+    apart = few.filter("root <> main").select("band", "value", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    rest = apart.join(few.select("band", "value", F.col("node").alias("y"), F.col("root").alias("y_root")), ["band", "value"])
     rest = rest.filter("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(near, ["a", "b"], "left_anti")
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(rest, texts, words, threshold))
-        found = components(links)
+    rest = materialize(rest.join(near, ["a", "b"], "left_anti"), "rest")
+    more = materialize(_verified(rest, texts, words, threshold).unionByName(_crowded(many, texts, words, threshold)), "more-links")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     named = nodes.select("node", "key", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))
     return named.join(ids, "root").select("key", "class_id", "class_texts")
