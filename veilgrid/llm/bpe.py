@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 _DOUBTFUL = re.compile("[\x1c-\x1f]")
 _MARK = "\x00"
 #: For texts of these characters alone, str.lower() is the normalizer and _RUNS the pre-tokenizer of the file.
@@ -32,13 +34,13 @@ _OTHER = re.compile("[^\x00-\x7f\u00c0-\u012f\u0131-\u024f]|<\\|")
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Fixed value: the pre-tokenizer pattern that _RUNS reproduces.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_BATCH_CHARS = 3_000_000
+_BATCH_CHARS = 2_000_000
 
 
 class PieceEncoder:
     """Encodes texts to id arrays. ``split`` says that white space separates pre-tokens (checked against the file)."""
 
-    def __init__(self, path: str, memo: int = 400_000, leaf: int = 2048):
+    def __init__(self, path: str, memo: int = 150_000, leaf: int = 2048):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -223,6 +225,7 @@ def encode_decode(df: DataFrame, path: str) -> DataFrame:
                 flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
                 begin = end
+        release_memory()
 
     kind = dict(df.dtypes)["doc_id"]
     return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS, DIM, SEED, KEPT = 64, 1024, 2024, 16_384
+from .common import release_memory
+
+LETTERS, DIM, SEED, KEPT = 64, 1024, 2024, 8_192
 UND = "und"
 
 
@@ -123,6 +125,7 @@ def learn(df: DataFrame) -> Profiles:
             for at in range(0, len(used), 4096):  # sums of integers below 2 ** 53 are exact in any order
                 v += own[used[at : at + 4096]].astype(np.float64) @ gram_vectors(used[at : at + 4096]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(v.astype(np.int64))], ["lang", "dim", "value"])
+        release_memory()
 
     rows = df.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value")).collect()
     langs = sorted({r.lang for r in rows})
@@ -142,6 +145,7 @@ def tag(df: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
         for b in batches:
             found = [p.predict(t) for t in b.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names[:n], "lang_pred", "score"])
+        release_memory()
 
     source = df.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("__text"))
     schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keep)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key
+from .common import materialize, release_memory, text_key
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 CROWD, BLOCK = 32, 400
@@ -134,6 +134,7 @@ def _nodes(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.array([x if ok else None for x, ok in zip(h.view(np.int64).tolist(), some.tolist(), strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), b.column(1).slice(begin, end - begin), lists], ["doc_id", "key", "bands"])
                 begin = end
+        release_memory()
 
     rows_ = df.select("doc_id", text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     signed = rows_.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, key string, bands array<long>")
@@ -161,6 +162,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
                         keep.append(at + k)
                         score.append(s)
             yield pa.RecordBatch.from_arrays([pa.array([a_id[k] for k in keep], pa.int64()), pa.array([b_id[k] for k in keep], pa.int64()), pa.array(score, pa.float64())], ["a", "b", "similarity"])
+        release_memory()
 
     one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
@@ -224,6 +226,7 @@ def _crowded(rows: DataFrame, texts: DataFrame, words: int, threshold: float) ->
 
     def run(t: pa.Table) -> pa.Table:
         found = block_links(*(t[c].to_pylist() for c in ("node", "root", "side", "text")), words, threshold)
+        release_memory()
         return pa.table([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
     return dealt.join(texts, "node").groupBy("band", "value", "i", "j").applyInArrow(run, "a long, b long, similarity double")

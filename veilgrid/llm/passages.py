@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory
 from .suffix import permuted_common_prefixes, suffix_array
 
 GRAM, BLOCK, SHARD_BYTES, ANCHOR_BYTES, SORT_BYTES = 80, 32, 1_500_000, 1_000_000, 700_000
@@ -134,6 +134,7 @@ def _anchors(df: DataFrame, span: int) -> DataFrame:
                         held, size = [], 0
         if held:
             yield emit(held)
+        release_memory()
 
     return df.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k1 long, k2 long, pos long, fp long, c1 long, c2 long, left int, size int")
 
@@ -293,6 +294,7 @@ def repeated_spans(df: DataFrame, span: int = 400, *, shard_bytes: int = SHARD_B
         ids = ids[keep]
         places = list(zip(zip(t["k1"].to_pylist(), t["k2"].to_pylist(), strict=True), t["begin"].to_pylist(), strict=True))
         found = covered_contexts(t["raw"].to_pylist(), t["left"].to_numpy(), ids[:, 0], t["n"].to_numpy(), places, span)
+        release_memory()
         f = np.array(found, np.int32).reshape(-1, 3)
         return pa.table([*(pa.array(ids[f[:, 0], k]) for k in range(3)), pa.array(t["size"].to_numpy()[f[:, 0]]), pa.array(f[:, 1]), pa.array(f[:, 2])], names=[*_CTX, "s", "e"])
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
+from .common import release_memory
 from .grammar import Shard, pack
 
 _SCHEMA = "part int, shard int, n_ids long, n_docs long, payload binary"
@@ -52,6 +53,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, s
                     yield shard()
         if docs:
             yield shard()
+        release_memory()
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
