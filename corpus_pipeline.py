@@ -36,9 +36,8 @@ def _one_each(rows: DataFrame) -> DataFrame:
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages of 400 bytes or more are cut out; characters cut in part go, and documents left without words."""
-    out = passages.remove_repeats(docs, 400, [c for c in COLUMNS if c not in ("text", "n_chars")])
-    # bytes of characters that a span cuts in part are no text: a span ends or starts between bytes, not characters
-    out = out.withColumn("text", passages.text_of(F.col("kept"))).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = passages.remove_repeats(docs, 400, [c for c in COLUMNS if c not in ("text", "n_chars")], as_text=True)
+    out = out.withColumnRenamed("kept", "text").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

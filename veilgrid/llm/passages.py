@@ -24,9 +24,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release_memory
@@ -357,8 +356,11 @@ def _keyed(df: DataFrame, *more: str) -> DataFrame:
     return df.select("doc_id", half(1).alias("k1"), half(17).alias("k2"), *[F.col(c) for c in more])
 
 
-def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None, **sizes: int) -> DataFrame:
-    """The columns ``keep`` of df (doc_id by default), n_bytes, kept (the remaining bytes), spans (removed, merged)."""
+def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None, as_text: bool = False, **sizes: int) -> DataFrame:
+    """The columns ``keep`` of df (doc_id by default), n_bytes, kept (the remaining bytes), spans (removed, merged).
+
+    With ``as_text`` kept is a string: bytes of characters that a span cuts in part are left out.
+    """
     keep = keep or ["doc_id"]
     spans = repeated_spans(df, span, **sizes)
     rows = _keyed(df.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*keep).alias("__kept")), "text", "__kept").join(spans, ["k1", "k2"], "left")
@@ -382,20 +384,13 @@ def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None
                         parts.append(raw[done:s])
                         done = e
                     sizes.append(len(raw))
-                    kept.append(b"".join([*parts, raw[done:]]))
+                    left = b"".join([*parts, raw[done:]])
+                    kept.append(left.decode("utf-8", "ignore") if as_text else left)
                     gone.append([{"s": s, "e": e} for s, e in merged])
-                yield pa.RecordBatch.from_arrays([*some.columns[:n], pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], [*some.schema.names[:n], "n_bytes", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(gone, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))], [*some.schema.names[:n], "n_bytes", "kept", "spans"])
+        release_memory()
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return rows.select(*[F.col(f"__kept.{c}").alias(c) for c in keep], "text", "spans").mapInArrow(run, f"{schema}, n_bytes long, kept binary, spans array<struct<s: long, e: long>>")
-
-
-def text_of(raw: Column) -> Column:
-    """UTF-8 text of bytes; bytes of characters that a span cut in part are left out."""
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: bytes(x).decode("utf-8", "ignore"))
+    return rows.select(*[F.col(f"__kept.{c}").alias(c) for c in keep], "text", "spans").mapInArrow(run, f"{schema}, n_bytes long, kept {'string' if as_text else 'binary'}, spans array<struct<s: long, e: long>>")
 
-    return decode(raw)
