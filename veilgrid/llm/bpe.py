@@ -17,7 +17,8 @@ import itertools
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -28,19 +29,38 @@ from pyspark.sql import functions as F
 from .common import release_memory
 
 _DOUBTFUL = re.compile("[\x1c-\x1f]")
-_MARK = "\x00"
 #: For texts of these characters alone, str.lower() is the normalizer and _RUNS the pre-tokenizer of the file.
 _OTHER = re.compile("[^\x00-\x7f\u00c0-\u012f\u0131-\u024f]|<\\|")
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Fixed value: the pre-tokenizer pattern that _RUNS reproduces.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LE32 = struct.Struct("<I").pack
 _BATCH_CHARS = 2_000_000
 
 
+class _Memo(dict):
+    """Values of a function of strings. A value is kept once its key was met ``often``, as most never are; a full memo starts anew."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int, often: int, longest: int = 64):
+        self.make, self.most, self.often, self.longest, self.met = make, most, often, longest, bytearray(1 << 22)
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        slot = hash(key) & 0x3FFFFF
+        times = self.met[slot] + 1
+        if times < self.often:
+            self.met[slot] = times
+        elif len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class PieceEncoder:
     """Encodes texts to id arrays. ``split`` says that white space separates pre-tokens (checked against the file)."""
 
-    def __init__(self, path: str, memo: int = 150_000, leaf: int = 2048):
+    def __init__(self, path: str, memo: int = 200_000, leaf: int = 2048):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -60,87 +80,51 @@ class PieceEncoder:
         steps_ = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         split_by = [x["pattern"].get("Regex") for x in steps if x.get("type") == "Split"]
         self.plain = steps_ == ["NFC", "Replace", "Lowercase"] and split_by == [_SPLIT] and steps[-1].get("type") == "ByteLevel"
-        self.words: dict[str, bytes] = {}
+        self.merge = self.bare.model.tokenize
+        self.words = _Memo(self._word, memo, 3)
         # byte-level letters: printable bytes stand for themselves, the others for 256 and on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-        mark = self.tok.encode(f"a {_MARK} a", add_special_tokens=False).ids if self.split else []
-        self.mark = mark[1] if len(mark) == 3 and mark.count(mark[1]) == 1 else None
-        self.memo_size, self.leaf, self.memo, self.met = memo, leaf, {}, np.zeros(1 << 23, bool)
+        self.leaf, self.memo = leaf, _Memo(self._piece, memo, 6)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many short pieces. Plain ones are cut into pre-tokens here and merged word by word, with a memo."""
-        if not self.plain:
-            return self._marked(pieces)
-        out: list = [None] * len(pieces)
-        odd = [k for k, p in enumerate(pieces) if _OTHER.search(p)] if _OTHER.search(" ".join(pieces)) else []
-        for k, ids in zip(odd, self._marked([pieces[k] for k in odd]), strict=True):
-            out[k] = ids
-        if len(self.words) > self.memo_size:
-            self.words.clear()
-        words, merge, letters = self.words, self.bare.model.tokenize, self.letters
-        for k, p in enumerate(pieces):
-            if out[k] is None:
-                runs = _RUNS.findall(p.lower())
-                for r in runs:
-                    if r not in words:
-                        word = r if r.isascii() and r.isalnum() else r.encode().decode("latin-1").translate(letters)
-                        words[r] = np.array([t.id for t in merge(word)], "<u4").tobytes()
-                out[k] = words[runs[0]] if len(runs) == 1 else b"".join([words[r] for r in runs])
-        return out
-
-    def _marked(self, pieces: list[str]) -> list[bytes]:
-        """Ids of many short pieces: they are joined by a mark that is always one known id and no piece holds."""
-        if self.mark is None or any(_MARK in p for p in pieces):
-            return self._whole(pieces)
-        out: list[bytes] = []
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            ids = np.asarray(self.tok.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            if len(ends) != len(some):
-                return self._whole(pieces)
-            raw, begin = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(raw[begin:end])
-                begin = end + 4
-        return out
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece. A plain one is cut into pre-tokens here, and they are merged one by one, with a memo."""
+        if self.plain and piece.isascii() and piece.isalpha() and len(piece) <= self.leaf:
+            return self.words[piece.lower()]
+        if len(piece) > self.leaf:
+            return self.tree(piece).astype("<u4").tobytes()
+        if not self.plain or _OTHER.search(piece):
+            return self._whole([piece])[0]
+        words = self.words
+        return b"".join([words[r] for r in _RUNS.findall(piece.lower())])
+
+    def _word(self, run: str) -> bytes:
+        word = run if run.isascii() and run.isalnum() else run.encode().decode("latin-1").translate(self.letters)
+        return b"".join([_LE32(t.id) for t in self.merge(word)])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Id arrays (uint32) in input order; holds a few MB of text at a time."""
-        batch, size = [], 0
+        """Id arrays (uint32) in input order, one text at a time."""
+        ids_of = self.memo.__getitem__
         for t in texts:
-            batch.append(t or "")
-            size += len(batch[-1])
-            if size >= _BATCH_CHARS:
-                yield from self._batch(batch)
-                batch, size = [], 0
-        yield from self._batch(batch)
-
-    def _batch(self, texts: list[str]) -> Iterator[np.ndarray]:
-        pieces = [None if not self.split or _DOUBTFUL.search(t) else t.split() for t in texts]
-        known = set(itertools.chain.from_iterable(p for p in pieces if p))
-        new = list(known.difference(self.memo))
-        long = [p for p in new if len(p) > self.leaf]
-        short = [p for p in new if len(p) <= self.leaf] if long else new
-        found = dict(zip(short, self._pieces(short), strict=True))
-        # a piece is kept once it is met in a second batch; most pieces never are
-        slots = np.fromiter(map(hash, short), np.int64, len(short)) & (len(self.met) - 1)
-        again = self.met[slots]
-        self.met[slots] = True
-        memo = self.memo
-        local = {p: memo[p] for p in known if p in memo} | found | {p: self.tree(p).astype("<u4").tobytes() for p in long}
-        if len(memo) + int(again.sum()) > self.memo_size:
-            memo.clear()
-        memo.update((p, found[p]) for p in itertools.compress(short, again.tolist()))
-        for t, p in zip(texts, pieces, strict=True):
-            if p is None:
-                yield np.frombuffer(self._whole([t])[0], "<u4")
+            t = t or ""
+            if not self.split or _DOUBTFUL.search(t):
+                raw = self._whole([t])[0]
             else:
-                yield np.frombuffer(b"".join(map(local.__getitem__, p)), "<u4")
+                raw = b"".join(map(ids_of, (t.lower() if self._lowers(t) else t).split()))
+            yield np.frombuffer(raw, "<u4")
+
+    def _lowers(self, text: str) -> bool:
+        """Whether lower-casing all of text is what the normalizer does: its characters are lowered one by one, and it names no special token."""
+        if not self.plain or "<|" in text:
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not _OTHER.search(text)
+        return True
 
     def tree(self, piece: str) -> np.ndarray:
         """Ids of one long piece without white space, by tree concatenation."""
