@@ -34,6 +34,8 @@ _OTHER = re.compile("[^\x00-\x7f\u00c0-\u012f\u0131-\u024f]|<\\|")
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Fixed value: the pre-tokenizer pattern that _RUNS reproduces.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that often end a piece; next to each other they are one run.
+_ENDS = ".,;:!?#&"
 _LE32 = struct.Struct("<I").pack
 _BATCH_CHARS = 2_000_000
 
@@ -81,24 +83,25 @@ class PieceEncoder:
         split_by = [x["pattern"].get("Regex") for x in steps if x.get("type") == "Split"]
         self.plain = steps_ == ["NFC", "Replace", "Lowercase"] and split_by == [_SPLIT] and steps[-1].get("type") == "ByteLevel"
         self.merge = self.bare.model.tokenize
-        self.words = _Memo(self._word, memo, 3)
+        self.words = _Memo(self._word, memo, 2)
         # byte-level letters: printable bytes stand for themselves, the others for 256 and on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.leaf, self.memo = leaf, _Memo(self._piece, memo, 6)
+        self.leaf, self.memo = leaf, _Memo(self._piece, memo, 4)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece. A plain one is cut into pre-tokens here, and they are merged one by one, with a memo."""
-        if self.plain and piece.isascii() and piece.isalpha() and len(piece) <= self.leaf:
-            return self.words[piece.lower()]
         if len(piece) > self.leaf:
             return self.tree(piece).astype("<u4").tobytes()
-        if not self.plain or _OTHER.search(piece):
+        if not self.plain or not piece.isascii() and _OTHER.search(piece) or "<|" in piece:
             return self._whole([piece])[0]
         words = self.words
+        core = piece.rstrip(_ENDS)
+        if core.isalpha():  # letters, then marks: two runs at most
+            return words[core.lower()] + words[piece[len(core) :]] if len(core) < len(piece) else words[core.lower()]
         return b"".join([words[r] for r in _RUNS.findall(piece.lower())])
 
     def _word(self, run: str) -> bytes:
@@ -180,14 +183,14 @@ class PieceEncoder:
         return int(i[k]), int(j[k])
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder per worker process and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int = 200_000) -> PieceEncoder:
+    """One encoder per worker process, file and memo size."""
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = PieceEncoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 def encode_decode(df: DataFrame, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def tokenizer_path() -> str:
 def op1_token_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     tokenfile.write_tokens(documents(spark, sf_dir), tokenizer_path(), path)
-    return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenfile.read_tokens(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op2_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,11 @@ from .grammar import Shard, pack
 _SCHEMA = "part int, shard int, n_ids long, n_docs long, payload binary"
 
 
-def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, shard_ids: int = 3_000_000) -> None:
+def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, shard_ids: int = 3_000_000, memo: int = 400_000) -> None:
     """df(doc_id, text) -> the shard table at path."""
 
     def run(batches):
-        enc, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, number = encoder(tokenizer, memo), TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[np.ndarray] = []
         size = 0
@@ -60,8 +60,8 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, s
     ordered.mapInArrow(run, _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The stored dataset: doc_id, start, n_tokens, ids_crc32, ids (little-endian unsigned 32 bit)."""
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """The stored dataset: doc_id, start, n_tokens, ids_crc32 and, unless left out, ids (little-endian unsigned 32 bit)."""
     table = spark.read.schema(_SCHEMA).parquet(path)
     # ids before each shard: within a part by a window over its shards, across parts over one row per part
     shards = table.select("part", "shard", "n_ids")
@@ -70,6 +70,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     inner = Window.partitionBy("part").orderBy("shard")
     begin = shards.select("part", "shard", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("inner_start")).join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("inner_start")).alias("shard_start"))
 
+    kept = ["ids"] if with_ids else []
+
     def run(batches):
         for b in batches:
             for part, shard, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -81,13 +83,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 step = 2000
                 for k in range(0, len(own), step):
                     some = own[k : k + step]
+                    stored = [pa.array([bytes(x) for x in some], pa.binary())] if with_ids else []
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([part] * len(some), pa.int32()), pa.array([shard] * len(some), pa.int32()), pa.array(s.doc_ids[k : k + step], pa.int64(), mask=~s.valid[k : k + step]),
-                            pa.array((ends - s.lengths)[k : k + step], pa.int64()), pa.array(s.lengths[k : k + step], pa.int64()), pa.array([zlib.crc32(x) for x in some], pa.int64()), pa.array([bytes(x) for x in some], pa.binary()),
+                            pa.array((ends - s.lengths)[k : k + step], pa.int64()), pa.array(s.lengths[k : k + step], pa.int64()), pa.array([zlib.crc32(x) for x in some], pa.int64()), *stored,
                         ],
-                        ["part", "shard", "doc_id", "inner", "n_tokens", "ids_crc32", "ids"],
+                        ["part", "shard", "doc_id", "inner", "n_tokens", "ids_crc32", *kept],
                     )
 
-    docs = table.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, doc_id long, inner long, n_tokens long, ids_crc32 long, ids binary")
-    return docs.join(begin, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    docs = table.select("part", "shard", "payload").mapInArrow(run, "part int, shard int, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.join(begin, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *kept)
