@@ -36,7 +36,6 @@ _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that often end a piece; next to each other they are one run.
 _ENDS = ".,;:!?#&"
-_LE32 = struct.Struct("<I").pack
 _BATCH_CHARS = 2_000_000
 
 
@@ -83,6 +82,7 @@ class PieceEncoder:
         split_by = [x["pattern"].get("Regex") for x in steps if x.get("type") == "Split"]
         self.plain = steps_ == ["NFC", "Replace", "Lowercase"] and split_by == [_SPLIT] and steps[-1].get("type") == "ByteLevel"
         self.merge = self.bare.model.tokenize
+        self.id_bytes = [struct.pack("<I", k) for k in range(self.vocab_size)]
         self.words = _Memo(self._word, memo, 2)
         # byte-level letters: printable bytes stand for themselves, the others for 256 and on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -106,18 +106,22 @@ class PieceEncoder:
 
     def _word(self, run: str) -> bytes:
         word = run if run.isascii() and run.isalnum() else run.encode().decode("latin-1").translate(self.letters)
-        return b"".join([_LE32(t.id) for t in self.merge(word)])
+        known = self.id_bytes
+        return b"".join([known[t.id] for t in self.merge(word)])
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Id arrays (uint32) in input order, one text at a time."""
+        """Id arrays (uint32) in input order."""
+        return (np.frombuffer(raw, "<u4") for raw in self.encode_raw(texts))
+
+    def encode_raw(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers in input order, one text at a time."""
         ids_of = self.memo.__getitem__
         for t in texts:
             t = t or ""
             if not self.split or _DOUBTFUL.search(t):
-                raw = self._whole([t])[0]
+                yield self._whole([t])[0]
             else:
-                raw = b"".join(map(ids_of, (t.lower() if self._lowers(t) else t).split()))
-            yield np.frombuffer(raw, "<u4")
+                yield b"".join(map(ids_of, (t.lower() if self._lowers(t) else t).split()))
 
     def _lowers(self, text: str) -> bool:
         """Whether lower-casing all of text is what the normalizer does: its characters are lowered one by one, and it names no special token."""

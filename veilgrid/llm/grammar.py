@@ -18,18 +18,21 @@ _SLOTS = 1 << 20
 
 def _chosen_pairs(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all positions, slot -> rank or -1, and the chosen pairs."""
-    slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-    count = np.bincount(slot[inner], minlength=_SLOTS)
+    slot = (((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(12)).astype(np.intp)
+    slot[~inner] = _SLOTS  # one slot more for pairs across documents, never chosen
+    count = np.bincount(slot, minlength=_SLOTS + 1)[:_SLOTS]
     top = np.flatnonzero(count >= least)
     if len(top) > 4 * most:
         top = top[np.argpartition(-count[top], 4 * most)[: 4 * most]]
-    rank = np.full(_SLOTS, -1, np.int32)
+    rank = np.full(_SLOTS + 1, -1, np.int32)
     rank[top] = np.arange(len(top))
-    at = np.flatnonzero((rank[slot] >= 0) & inner)
-    r = rank[slot[at]]
+    ranks = rank.take(slot)
+    at = np.flatnonzero(ranks >= 0)
+    r = ranks[at]
     pair = np.zeros((len(top), 2), np.uint32)
-    pair[r[::-1], 0], pair[r[::-1], 1] = left[at[::-1]], right[at[::-1]]  # the first pair met stands for its slot
-    same = (pair[r, 0] == left[at]) & (pair[r, 1] == right[at])
+    a, b = left[at], right[at]
+    pair[r[::-1], 0], pair[r[::-1], 1] = a[::-1], b[::-1]  # the first pair met stands for its slot
+    same = (pair[:, 0].take(r) == a) & (pair[:, 1].take(r) == b)
     exact = np.bincount(r[same], minlength=len(top))
     role: dict[int, bool] = {}
     keep = []

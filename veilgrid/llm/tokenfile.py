@@ -31,13 +31,14 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, s
     def run(batches):
         enc, part, number = encoder(tokenizer, memo), TaskContext.get().partitionId(), 0
         docs: list = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
+        end = np.uint32(end_id).astype("<u4").tobytes()
         size = 0
 
         def shard():
             nonlocal docs, held, size, number
-            ids = np.concatenate(held)
-            lengths = np.array([len(x) for x in held], np.int64)
+            ids = np.frombuffer(b"".join(held), "<u4")
+            lengths = np.array([len(x) // 4 for x in held], np.int64)
             valid = np.array([d is not None for d in docs])
             raw = pack(np.array([d or 0 for d in docs], np.int64), valid, lengths, ids, enc.vocab_size)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([raw], pa.binary())], ["part", "shard", "n_ids", "n_docs", "payload"])
@@ -45,10 +46,10 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, s
             return out
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_raw(b.column(1).to_pylist()), strict=True):
                 docs.append(doc)
-                held.append(np.append(ids, np.uint32(end_id)))
-                size += len(held[-1])
+                held.append(ids + end)
+                size += len(held[-1]) // 4
                 if size >= shard_ids:
                     yield shard()
         if docs:
