@@ -251,6 +251,20 @@ def test_brown_scores(docs, none):
     assert brown.score(none, F.lit(True)).count() == 0
 
 
+def test_exchange_reaches_every_word_with_contexts(spark):
+    """Words far beyond the seed, with unrelated endings, are clustered by the words around them."""
+    rng = random.Random(5)
+    kinds = [[bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(9)).decode() for _ in range(80)] for _ in range(2)]
+    texts = [" ".join(x for _ in range(40) for x in ("left", rng.choice(kinds[0]), "right", rng.choice(kinds[1]))) for _ in range(60)]
+    rows = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    units, ends, _ = brown.collect_units(brown.word_counts(rows), 5, 2, 3)
+    parts = brown.encode(rows, units, True)
+    cls, m, trace = brown.cluster(parts, units, ends, 2, 5)
+    assert units.first_ending - 1 == 162 and len(trace) > 1 and trace == sorted(trace) and m.sum() == 60 * 161
+    own = [Counter(cls[units.of([w.encode() for w in k])].tolist()) for k in kinds]
+    assert all(c.most_common(1)[0][1] >= 76 for c in own) and own[0].most_common(1)[0][0] != own[1].most_common(1)[0][0]
+
+
 def test_exchange_raises_likelihood():
     rng = np.random.default_rng(2)
     group = rng.integers(1, 4, 30)
