@@ -18,10 +18,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: that of the smallest doc_id."""
+    """One document of each near-duplicate class stays: that of the smallest (doc_id, text key), null doc_ids last."""
     keyed = docs.select(*COLUMNS, text_key(F.col("text")).alias("__key"))
-    found = neardup.classes(docs).select(F.col("key").alias("__key"), F.col("class_id").alias("__class"))
-    kept = found.join(keyed.select("__key", "doc_id"), "__key").filter(F.col("doc_id").eqNullSafe(F.col("__class"))).select("__key", "doc_id").distinct()
+    kept = neardup.classes(docs).filter("key = class_key").select(F.col("key").alias("__key"), F.col("class_id").alias("doc_id"))
     # the kept doc_ids are few columns wide; texts move once
     same = (keyed["__key"] == kept["__key"]) & keyed["doc_id"].eqNullSafe(kept["doc_id"])
     out = keyed.join(kept, same, "left_semi").withColumn("__row", F.monotonically_increasing_id())

@@ -209,6 +209,16 @@ def test_near_duplicates(docs, none, monkeypatch):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_one_document_of_each_class_stays(spark):
+    import corpus_pipeline
+
+    other = " ".join(f"x{k}" for k in range(300))
+    rows = [(1, BASE), (1, BASE + " more"), (1, BASE + " more"), (2, BASE + " again"), (None, other), (None, other + " more"), (None, other + " again"), (1, "apart")]
+    docs = spark.createDataFrame([(d, t, None, None, len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text[:20]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert kept == {(1, BASE[:20]): 1, (None, other[:20]): 1, (1, "apart"): 1}
+
+
 def test_probability_jaccard_estimate():
     a, b = {k: rnd.randint(1, 5) for k in range(60)}, {k: rnd.randint(1, 5) for k in range(20, 90)}
     brute = sum(1 / sum(max(a.get(e, 0) / a[d], b.get(e, 0) / b[d]) for e in {*a, *b}) for d in {*a} & {*b})

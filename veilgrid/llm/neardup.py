@@ -253,7 +253,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """df(doc_id, text) -> key, class_id, class_texts: each distinct text's key, its class and the class's distinct texts."""
+    """df(doc_id, text) -> key, class_id, class_key, class_texts: each distinct text's key, its class's smallest (doc_id, key)
+    with null doc_ids last, and the class's distinct texts."""
     nodes = _nodes(df, words, bands, rows)
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     # three leaders a bucket: its smallest node, often shared by buckets, and two that differ from bucket to bucket
@@ -284,8 +285,9 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     if not more.isEmpty():
         found = components(links.unionByName(more))
     named = nodes.select("node", "key", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))
-    return named.join(ids, "root").select("key", "class_id", "class_texts")
+    first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), first.alias("class_key"), F.count("*").alias("class_texts"))
+    return named.join(ids, "root").select("key", "class_id", "class_key", "class_texts")
 
 
 def near_duplicates(df: DataFrame, **options) -> DataFrame:
