@@ -6,9 +6,12 @@ every slot's. Two signatures agree in a slot with the probability Jaccard simila
 
 Equal texts are one node. Nodes that agree in a band share a bucket. In a bucket every node is compared with three leaders,
 never all with all; nodes that this leaves outside their bucket's largest component are then compared with the bucket's
-nodes of other components: pair by pair in small buckets, block by block with matrix products in crowded ones.
-So every pair that shares a bucket is verified or already connected, and no link between classes is lost. Similarities
-are exact. Components are found by star contraction, with each round written to the shared folder.
+nodes of other components. Small buckets do that pair by pair. The nodes of crowded ones meet by rare shingles instead: of
+two texts that reach the threshold, each holds at least that share of its weight in common shingles, so the rarest common
+one lies among each text's rarest shingles of just over the other share. Only nodes of different components that meet
+there are compared; shingles that many of them hold are worked off in blocks of bounded size with matrix products.
+So every pair that shares a bucket is verified, shown to be below the threshold or already connected, and no link between
+classes is lost. Similarities are exact. Components are found by star contraction, each round written to the shared folder.
 
 Defined cases: letter case and the kind of white space do not count; a text of one to four words is one shingle; texts
 without words equal each other only if their bytes do; null is the empty text; repeated rows share a class; a class's id
@@ -19,14 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, release_memory, text_key
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 CROWD, BLOCK = 32, 400
-_CHUNK = 1_000_000
+_CHUNK = 1_000_000  # bytes of text looked at together; a longer text is alone
 _M = np.uint64(0xFFFFFFFFFFFF)
 _random = np.random.default_rng(8)
 _LETTER = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,13 +123,8 @@ def _nodes(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts, begin = b.column(2).to_pylist(), 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and size < _CHUNK and end - begin < 4096:
-                    size += len(texts[end] or "")
-                    end += 1
-                doc, value, count = shingles(texts[begin:end], words)
+            for begin, end in _slices(b.column(2), 4096):
+                doc, value, count = shingles(b.column(2).slice(begin, end - begin).to_pylist(), words)
                 sign = signatures(end - begin, doc, value, count, bands * rows)
                 h = np.zeros((end - begin, bands), np.uint64)
                 for k in range(rows):
@@ -133,7 +132,6 @@ def _nodes(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 some = np.bincount(doc, minlength=end - begin) > 0
                 lists = pa.array([x if ok else None for x, ok in zip(h.view(np.int64).tolist(), some.tolist(), strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), b.column(1).slice(begin, end - begin), lists], ["doc_id", "key", "bands"])
-                begin = end
         release_memory()
 
     rows_ = df.select("doc_id", text_key(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
@@ -142,6 +140,17 @@ def _nodes(df: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return materialize(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
+def _slices(texts: pa.Array, most: int = 256) -> list[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` texts and _CHUNK bytes, or of one text."""
+    out, begin, size = [], 0, 0
+    for k, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if k > begin and (k - begin >= most or size + n > _CHUNK):
+            out.append((begin, k))
+            begin, size = k, 0
+        size += n
+    return [*out, (begin, len(texts))] if len(texts) else out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact similarity reaches the threshold, with it."""
 
@@ -149,8 +158,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, threshold: float)
         last, own = None, None
         for b in batches:
             a_id, b_id, keep, score = b.column(0).to_pylist(), b.column(1).to_pylist(), [], []
-            for at in range(0, len(a_id), 256):
-                ta, tb = b.column(2).slice(at, 256).to_pylist(), b.column(3).slice(at, 256).to_pylist()
+            for at, end in _slices(b.column(3)):
+                ta, tb = b.column(2).slice(at, end - at).to_pylist(), b.column(3).slice(at, end - at).to_pylist()
                 doc, value, count = shingles(tb, words)
                 cuts = np.searchsorted(doc, np.arange(len(tb) + 1))
                 for k in range(len(tb)):
@@ -217,19 +226,51 @@ def block_links(nodes: list[int], roots: list[int], sides: list[int], texts: lis
     return out
 
 
+def _rare(nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """nodes(node, root) -> value, node, root: the rarest shingles of each node, of just over 1 - threshold of its weight.
+
+    Rarity is counted over these nodes; ties go by the shingle, so all nodes have one order.
+    """
+
+    def run(batches):
+        for b in batches:
+            for at, end in _slices(b.column(2)):
+                doc, value, count = shingles(b.column(2).slice(at, end - at).to_pylist(), words)
+                total = np.bincount(doc, count, minlength=end - at)
+                rows = pa.array(at + doc)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(value.view(np.int64)), pa.array(count / total[doc])], ["node", "root", "value", "share"])
+        release_memory()
+
+    held = materialize(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(run, "node long, root long, value long, share double"), "shingles")
+    # a shingle that nodes of one component alone hold can connect nothing
+    often = held.groupBy("value").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high"))
+    order = Window.partitionBy("node").orderBy("often", "value")
+    before = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("share")
+    first = held.join(often, "value").withColumn("before", before).filter(F.col("before") <= 1 - threshold + 1e-9)
+    return first.filter("low <> high").select("value", "node", "root")
+
+
 def _crowded(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Links in crowded buckets: rows(band, value, node, root, n) in blocks, each pair of blocks a task's work."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
+    """Links among rows(value, node, root) that share a value: each pair of blocks of a value is a task's work."""
+    sized = rows.join(texts, "node")
+    n = sized.groupBy("value").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / (_CHUNK // 2))).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(n, "value").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
 
     def run(t: pa.Table) -> pa.Table:
         found = block_links(*(t[c].to_pylist() for c in ("node", "root", "side", "text")), words, threshold)
         release_memory()
         return pa.table([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
 
-    return dealt.join(texts, "node").groupBy("band", "value", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+    return dealt.join(texts, "node").groupBy("value", "i", "j").applyInArrow(run, "a long, b long, similarity double")
+
+
+def _apart(rows: DataFrame, key: list[str], main: Column | None = None) -> DataFrame:
+    """Pairs a < b of nodes of rows(key, node, root) that share the key but not the root, one of them outside ``main``."""
+    x = (rows if main is None else rows.filter(main)).select(*key, F.col("node").alias("x"), F.col("root").alias("x_root"))
+    pairs = x.join(rows.select(*key, F.col("node").alias("y"), F.col("root").alias("y_root")), key).filter("x_root <> y_root")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -276,12 +317,16 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     # buckets of equal nodes are one
     open_ = open_.groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "value", "main")).alias("b")).select("b.*", "n")
     root = materialize(root.join(open_, ["band", "value"]), "roots")
-    few, many = root.filter(F.col("n") <= CROWD), root.filter(F.col("n") > CROWD)
-    apart = few.filter("root <> main").select("band", "value", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    rest = apart.join(few.select("band", "value", F.col("node").alias("y"), F.col("root").alias("y_root")), ["band", "value"])
-    rest = rest.filter("x_root <> y_root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    few, many = root.filter(F.col("n") <= CROWD), root.filter(F.col("n") > CROWD).select("node", "root").distinct()
+    rare = materialize(_rare(many, texts, words, threshold), "rare-shingles")
+    # shingles held by the same nodes are one
+    sets = rare.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    sets = sets.groupBy("n", "h1", "h2").agg(F.min("value").alias("value"))
+    rare = materialize(rare.join(sets.select("value", "n"), "value"), "rare-sets")
+    rest = _apart(few, ["band", "value"], F.col("root") != F.col("main")).unionByName(_apart(rare.filter(F.col("n") <= CROWD), ["value"])).distinct()
     rest = materialize(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_verified(rest, texts, words, threshold).unionByName(_crowded(many, texts, words, threshold)), "more-links")
+    blocks = _crowded(rare.filter(F.col("n") > CROWD).select("value", "node", "root"), texts, words, threshold)
+    more = materialize(_verified(rest, texts, words, threshold).unionByName(blocks), "more-links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     named = nodes.select("node", "key", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -2,7 +2,7 @@
 
 A byte is removed if a ``span``-byte string that covers it also starts anywhere else, in another or the same text.
 
-1. Anchors. Each span-byte window belongs to its gram of smallest hash (the leftmost, where several tie), so equal windows
+1. Anchors. Each span-byte window belongs to its gram (a fifth of the span) of smallest hash (the leftmost, where several tie), so equal windows
    belong to equal grams at the same offset. An anchor is such a gram with its run of windows; their union is its context.
 2. Only anchors met at two or more places go on, and of equal contexts one, with its multiplicity. A context met twice
    is covered whole.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release_memory
 from .suffix import permuted_common_prefixes, suffix_array
 
-GRAM, BLOCK, SHARD_BYTES, ANCHOR_BYTES, SORT_BYTES = 80, 32, 1_500_000, 1_000_000, 700_000
+BLOCK, SHARD_BYTES, ANCHOR_BYTES, SORT_BYTES = 32, 1_500_000, 1_000_000, 700_000
 _LONG = 8_000_000
 _CTX = ["fp", "c1", "c2", "size"]
 
@@ -91,6 +91,8 @@ def owners(values: np.ndarray, w: int, usable: np.ndarray) -> tuple[np.ndarray,
 def _anchors(df: DataFrame, span: int) -> DataFrame:
     """df(text) -> k1, k2 (text key), pos, fp, c1, c2, left, size: a row for each anchor of each text."""
 
+    gram = max(1, span // 5)
+
     def run(batches):
         one, two = _Rolling(1, 0x9E3779B97F4A7C15), _Rolling(2, 0xC2B2AE3D27D4EB4F)
         names = ["k1", "k2", "pos", "fp", "c1", "c2", "left", "size"]
@@ -101,12 +103,12 @@ def _anchors(df: DataFrame, span: int) -> DataFrame:
             ends = np.cumsum(sizes)
             keys = np.frombuffer(key or b"".join(hashlib.md5(r).digest() for r in raws), "<i8").reshape(-1, 2)
             one.load(raw), two.load(raw)
-            at = np.arange(len(raw) - GRAM + 1)
-            value = one.of(at, at + GRAM)
+            at = np.arange(len(raw) - gram + 1)
+            value = one.of(at, at + gram)
             usable = np.ones(len(raw) - span + 1, bool)  # windows that lie in one text
             for e in ends[:-1].tolist():
                 usable[e - span + 1 : e] = False
-            p, begin, last = owners(value >> np.uint64(24), span - GRAM + 1, usable)
+            p, begin, last = owners(value >> np.uint64(24), span - gram + 1, usable)
             end = last + span
             doc = np.searchsorted(ends, p, "right")
             left, size = (p - begin).astype(np.int32), (end - begin).astype(np.int32)
@@ -356,10 +358,11 @@ def _keyed(df: DataFrame, *more: str) -> DataFrame:
     return df.select("doc_id", half(1).alias("k1"), half(17).alias("k2"), *[F.col(c) for c in more])
 
 
-def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None, as_text: bool = False, **sizes: int) -> DataFrame:
+def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None, as_text: bool = False, least_words: int = 0, least_bytes: int = 0, **sizes: int) -> DataFrame:
     """The columns ``keep`` of df (doc_id by default), n_bytes, kept (the remaining bytes), spans (removed, merged).
 
-    With ``as_text`` kept is a string: bytes of characters that a span cuts in part are left out.
+    With ``as_text`` kept is a string: bytes of characters that a span cuts in part are left out. A merged stretch is
+    removed if it has ``least_words`` words (cut ones count) or ``least_bytes`` bytes; by default any is.
     """
     keep = keep or ["doc_id"]
     spans = repeated_spans(df, span, **sizes)
@@ -379,6 +382,8 @@ def remove_repeats(df: DataFrame, span: int = 400, keep: list[str] | None = None
                             merged[-1][1] = max(merged[-1][1], x[1])
                         else:
                             merged.append(list(x))
+                    if least_words:
+                        merged = [x for x in merged if x[1] - x[0] >= least_bytes or len(raw[x[0] : x[1]].split()) >= least_words]
                     parts, done = [], 0
                     for s, e in merged:
                         parts.append(raw[done:s])
