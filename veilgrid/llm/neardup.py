@@ -319,10 +319,12 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     root = materialize(root.join(open_, ["band", "value"]), "roots")
     few, many = root.filter(F.col("n") <= CROWD), root.filter(F.col("n") > CROWD).select("node", "root").distinct()
     rare = materialize(_rare(many, texts, words, threshold), "rare-shingles")
-    # shingles held by the same nodes are one
-    sets = rare.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    sets = sets.groupBy("n", "h1", "h2").agg(F.min("value").alias("value"))
-    rare = materialize(rare.join(sets.select("value", "n"), "value"), "rare-sets")
+    # a family of texts shares many rare shingles: shingles whose nodes have the same smallest hash are one, twice over
+    for seed in (0, 1):
+        low = rare.groupBy("value").agg(F.min(F.xxhash64("node", F.lit(seed))).alias("low"))
+        rare = rare.join(low, "value").select(F.col("low").alias("value"), "node", "root").distinct()
+    n = rare.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    rare = materialize(rare.join(n.select("value", "n"), "value"), "rare-sets")
     rest = _apart(few, ["band", "value"], F.col("root") != F.col("main")).unionByName(_apart(rare.filter(F.col("n") <= CROWD), ["value"])).distinct()
     rest = materialize(rest.join(near, ["a", "b"], "left_anti"), "rest")
     blocks = _crowded(rare.filter(F.col("n") > CROWD).select("value", "node", "root"), texts, words, threshold)
