@@ -100,6 +100,24 @@ def test_grammar_round_trip_and_random_access():
             assert np.array_equal(s.document(k), own) and np.array_equal(s.document(k, 3, 9), own[3:9])
 
 
+def test_grammar_replaces_every_pair_that_pays():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.integers(0, 40, 6000), np.zeros(500, int), np.tile([7, 7, 9], 200)]).astype(np.uint32)
+    lengths = np.full(71, 100)
+    for vocab in (50, 65_530, 70_000):  # rules past 16 bits, and none that fit them
+        seq, rules, symbols = grammar.compress(ids, lengths, vocab)
+        ends = np.cumsum(symbols)
+        met = Counter()
+        for e, n in zip(ends.tolist(), symbols.tolist(), strict=True):
+            own, k = seq[e - n : e].tolist(), 0
+            while k < n - 1:  # equal symbols count from the left
+                met[own[k], own[k + 1]] += 1
+                k += 2 if k + 2 < n and own[k] == own[k + 1] == own[k + 2] else 1
+        assert len(rules) and max(met.values()) < grammar.LEAST + 1
+        s = grammar.Shard(grammar.pack(np.arange(71), np.ones(71, bool), lengths, ids, vocab))
+        assert np.array_equal(s.ids(), ids) and np.array_equal(s.document(61), ids[6100:6200])
+
+
 def test_audio(docs, none):
     out = audio.features(audio.store_media(docs)).collect()
     by_text = {}

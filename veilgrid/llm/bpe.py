@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory
+from .common import KEPT, release_memory
 
 _DOUBTFUL = re.compile("[\x1c-\x1f]")
 #: For texts of these characters alone, str.lower() is the normalizer and _RUNS the pre-tokenizer of the file.
@@ -187,7 +187,7 @@ class PieceEncoder:
         return int(i[k]), int(j[k])
 
 
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, int], PieceEncoder] = KEPT.setdefault("encoders", {})
 
 
 def encoder(path: str, memo: int = 200_000) -> PieceEncoder:
@@ -216,7 +216,7 @@ def encode_decode(df: DataFrame, path: str) -> DataFrame:
                 flat = np.concatenate([*ids, np.empty(0, "<u4")]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(begin, end - begin), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
                 begin = end
-        release_memory()
+        release_memory("encoders")
 
     kind = dict(df.dtypes)["doc_id"]
     return df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

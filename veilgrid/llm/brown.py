@@ -33,6 +33,8 @@ from .common import materialize
 UNITS, ENDINGS, CLASSES, HEAD, ROUNDS, BACKOFF = 600, 128, 48, 100_000, 12, 5.0
 #: Words met less often are units by ending. A round that adds less than RISE nats a token is the last.
 LEAST, RISE, CHUNK = 5, 1e-3, 2_000_000
+#: Units whose moves one task chooses: their counts by class are at most 2 x classes a unit.
+BUCKET_UNITS = 8_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 END = b"\n"  # white space, so never a word
 
@@ -183,29 +185,66 @@ def propose(unit: np.ndarray, k: np.ndarray, n: np.ndarray, cls: np.ndarray, m:
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def moves(seqs: DataFrame, state, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """seqs(units) -> ``propose`` over all units; ``state`` is a broadcast (class of each unit, counts of class pairs)."""
+def pack_counts(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising keys with counts, as the keys' steps and the counts side by side, compressed."""
+    steps = np.diff(key, prepend=0).astype("<u4")
+    return zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_counts(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(raw), np.uint8)
+    half = len(both) // 2
+    steps, n = (np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel() for x in (both[:half], both[half:]))
+    return np.cumsum(steps, dtype=np.int64), n.astype(np.int64)
+
+
+def merge_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and summed counts of several lists."""
+    key, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return key, np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
+
+
+def moves(seqs: DataFrame, state, size: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """seqs(units) -> ``propose`` over all units; ``state`` is a broadcast (class of each unit, counts of class pairs).
+
+    A task sums its counts of (unit, neighbour's class) and sends each bucket of units one packed list of them.
+    """
 
     def contexts(batches):
         cls = state.value[0]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush():
+            key, n = merge_counts(held) if len(held) > 1 else held[0]
+            w, k = key // (2 * size), key % (2 * size)
+            bucket, local = w % buckets, (w // buckets) * (2 * size) + k
+            order = np.argsort(bucket, kind="stable")  # keys rise within a bucket
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            local, n = local[order], n[order]
+            used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            packed = [pack_counts(local[cuts[b] : cuts[b + 1]], n[cuts[b] : cuts[b + 1]]) for b in used]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "counts"])
+
         for u in _chunks(batches):
             c = cls[u].astype(np.int64)
             before, after = np.concatenate([[0], c[:-1]]), np.concatenate([c[1:], [0]])
             w = u.astype(np.int64) * (2 * size)
             inner = u > 0
-            key, n = np.unique(np.concatenate([(w + before)[inner], (w + size + after)[inner]]), return_counts=True)
-            for at in range(0, len(key), 200_000):
-                some = key[at : at + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array((some // (2 * size)).astype(np.int32)), pa.array((some % (2 * size)).astype(np.int32)), pa.array(n[at : at + 200_000].astype(np.int32))], ["unit", "k", "n"])
-
-    def choose(batches):
+            held.append(np.unique(np.concatenate([(w + before)[inner], (w + size + after)[inner]]), return_counts=True))
+            if sum(len(x[0]) for x in held) > 4 * CHUNK:
+                yield flush()
+                held = []
+        if held and sum(len(x[0]) for x in held):
+            yield flush()
+
+    def choose(t: pa.Table) -> pa.Table:
         cls, m = state.value
-        held = [[b.column(k).to_numpy() for k in range(3)] for b in batches if b.num_rows]
-        if held:
-            unit, to = propose(*(np.concatenate(x) for x in zip(*held, strict=True)), cls, m)
-            yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int32)), pa.array(to.astype(np.int32))], ["unit", "to"])
+        bucket = t["bucket"][0].as_py()
+        key, n = merge_counts([unpack_counts(x) for x in t["counts"].to_pylist()])
+        unit, to = propose((key // (2 * size)) * buckets + bucket, key % (2 * size), n, cls, m)
+        return pa.table([pa.array(unit.astype(np.int32)), pa.array(to.astype(np.int32))], names=["unit", "to"])
 
-    found = seqs.select("units").mapInArrow(contexts, "unit int, k int, n int").repartition("unit").mapInArrow(choose, "unit int, to int").toArrow()
+    found = seqs.select("units").mapInArrow(contexts, "bucket int, counts binary").groupBy("bucket").applyInArrow(choose, "unit int, to int").toArrow()
     return found["unit"].to_numpy(), found["to"].to_numpy()
 
 
@@ -222,7 +261,7 @@ def exchange_all(seqs: DataFrame, cls: np.ndarray, size: int, rounds: int = ROUN
         best, best_m, _ = cls, m, trace.append(now)
         if small or len(trace) > rounds:
             break
-        unit, to = moves(seqs, context.broadcast((cls, m)), size)
+        unit, to = moves(seqs, context.broadcast((cls, m)), size, -(-len(cls) // BUCKET_UNITS))
         if not len(unit):
             break
         cls = cls.copy()

@@ -51,13 +51,23 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def release_memory() -> None:
-    """Give freed memory of a worker process back: workers outlive tasks and share their executor's memory."""
+#: What operators keep in a worker process between tasks.
+KEPT: dict[str, dict] = {}
+
+
+def release_memory(keep: str = "") -> None:
+    """Give freed memory of a worker process back: workers outlive tasks and share their executor's memory.
+
+    What other operators than ``keep`` have kept goes too, so that the steps of a long job do not add up.
+    """
     import ctypes
     import gc
 
     import pyarrow as pa
 
+    for name, kept in KEPT.items():
+        if name != keep:
+            kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):

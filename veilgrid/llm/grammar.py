@@ -1,9 +1,12 @@
 """Re-Pair grammar compression of token-id shards (operator 1).
 
 Each round counts adjacent pairs of the whole shard and replaces many frequent ones at once. The pairs of a round use
-every symbol in one role only (left or right), so no two replacements overlap. Pairs never cross documents. A shard
-stores its rules, each rule's expansion length, the symbol sequence and the documents' symbol offsets: a document, or
-any range of its ids, is found by prefix sums of expansion lengths and decoded without the rest.
+every symbol in one role only (left or right), so no two replacements overlap; a pair of two equal symbols has its symbol
+to itself and is replaced from the left of each run. Rounds go on until no pair is met often enough to pay for its rule:
+a rule takes 12 bytes, a use of it saves a symbol of two or three. Pairs never cross documents.
+
+A shard stores its rules, each rule's expansion length, the symbol sequence and the documents' symbol offsets: a document,
+or any range of its ids, is found by prefix sums of expansion lengths and decoded without the rest.
 """
 
 from __future__ import annotations
@@ -12,13 +15,36 @@ import struct
 
 import numpy as np
 
-MAGIC = b"VGRP1\0\0\0"
+MAGIC = b"VGRP2\0\0\0"
+#: Uses that pay for a rule; pairs chosen in a round; rounds that choose fewer than FEW count exactly from then on.
+LEAST, MOST, FEW = 6, 16_384, 512
 _SLOTS = 1 << 20
 
 
-def _chosen_pairs(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all positions, slot -> rank or -1, and the chosen pairs."""
-    slot = (((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(12)).astype(np.intp)
+def _choose(pairs: np.ndarray, counts: np.ndarray, least: int, most: int) -> list[int]:
+    """The most frequent pairs whose symbols keep to one role."""
+    role: dict[int, int] = {}  # 0 left, 1 right, 2 both
+    keep: list[int] = []
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], -counts))
+    for k, a, b, n in zip(order.tolist(), pairs[order, 0].tolist(), pairs[order, 1].tolist(), counts[order].tolist(), strict=True):
+        if n < least or len(keep) >= most:
+            break
+        if a == b:
+            if a in role:
+                continue
+            role[a] = 2
+        elif role.get(a, 0) or role.get(b, 1) != 1:
+            continue
+        else:
+            role[a], role[b] = 0, 1
+        keep.append(k)
+    return keep
+
+
+def _by_slots(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, rules and pairs of a round, counted by hash slots; another hash each turn, as a slot counts its first pair only."""
+    odd = np.uint32(0x85EBCA6B + 2 * turn * 0x51ED270B & 0xFFFFFFFF)
+    slot = (((left * np.uint32(0x9E3779B1)) ^ (right * odd)) >> np.uint32(12)).astype(np.intp)
     slot[~inner] = _SLOTS  # one slot more for pairs across documents, never chosen
     count = np.bincount(slot, minlength=_SLOTS + 1)[:_SLOTS]
     top = np.flatnonzero(count >= least)
@@ -33,16 +59,7 @@ def _chosen_pairs(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least:
     a, b = left[at], right[at]
     pair[r[::-1], 0], pair[r[::-1], 1] = a[::-1], b[::-1]  # the first pair met stands for its slot
     same = (pair[:, 0].take(r) == a) & (pair[:, 1].take(r) == b)
-    exact = np.bincount(r[same], minlength=len(top))
-    role: dict[int, bool] = {}
-    keep = []
-    order = np.lexsort((pair[:, 1], pair[:, 0], -exact))
-    for k, a, b, n in zip(order.tolist(), pair[order, 0].tolist(), pair[order, 1].tolist(), exact[order].tolist(), strict=True):
-        if n < least or len(keep) >= most:
-            break
-        if a != b and role.get(a, True) and not role.get(b, False):
-            role[a], role[b] = True, False
-            keep.append(k)
+    keep = _choose(pair, np.bincount(r[same], minlength=len(top)), least, most)
     number = np.full(len(top), -1, np.int32)
     number[keep] = np.arange(len(keep))
     rule = number[r]
@@ -50,26 +67,57 @@ def _chosen_pairs(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least:
     return at[ok], rule[ok], pair[keep]
 
 
-def compress(ids: np.ndarray, doc_lengths: np.ndarray, first_free: int, rounds: int = 6, most: int = 4096, least: int = 16, symbols: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _exactly(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_by_slots``, from sorted pairs: none that is frequent is missed."""
+    where = np.flatnonzero(inner)
+    key = (left[where].astype(np.uint64) << np.uint64(32)) | right[where]
+    kinds, count = np.unique(key, return_counts=True)
+    kinds, count = kinds[count >= least], count[count >= least]
+    pair = np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    keep = sorted(_choose(pair, count, least, most))
+    if not keep:
+        return where[:0], np.empty(0, np.int32), pair[:0]
+    chosen = kinds[keep]
+    rule = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
+    ok = chosen[rule] == key
+    return where[ok], rule[ok].astype(np.int32), pair[keep]
+
+
+def _from_left(at: np.ndarray, rule: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without every second place of a run of one symbol, as those overlap the places before."""
+    equal = (pairs[:, 0] == pairs[:, 1])[rule]
+    if not equal.any():
+        return at, rule
+    fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | ~equal[1:] | (rule[1:] != rule[:-1])])
+    start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    stay = ~equal | ((np.arange(len(at)) - start) % 2 == 0)
+    return at[stay], rule[stay]
+
+
+def compress(ids: np.ndarray, doc_lengths: np.ndarray, first_free: int, most: int = MOST, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules[n, 2], symbols of each document). Rule k makes symbol first_free + k."""
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(doc_lengths) - 1] = True  # documents are never empty: each ends with the end id
-    rules = np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        room = min(most, symbols - first_free - len(rules))
-        if room <= 0 or len(seq) < 2:
-            break
-        at, rule, pairs = _chosen_pairs(seq[:-1], seq[1:], ~last[:-1], least, room)
-        if not len(pairs):
+    rules, n, turn, exact = [np.empty((0, 2), np.uint32)], 0, 0, False
+    while len(seq) > 1:
+        if exact:
+            at, rule, pairs = _exactly(seq[:-1], seq[1:], ~last[:-1], least, most)
+        else:
+            at, rule, pairs = _by_slots(seq[:-1], seq[1:], ~last[:-1], least, most, turn)
+        turn += 1
+        if not len(pairs) and exact:
             break
-        seq[at] = (first_free + len(rules) + rule).astype(np.uint32)
+        exact = exact or len(pairs) < FEW
+        at, rule = _from_left(at, rule, pairs)
+        seq[at] = (first_free + n + rule).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq, last = seq[stay], last[stay]
-        rules = np.concatenate([rules, pairs])
-    return seq, rules, np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
+        rules.append(pairs)
+        n += len(pairs)
+    return seq, np.concatenate(rules), np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
 
 
 def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
@@ -83,10 +131,11 @@ def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
 def pack(doc_ids: np.ndarray, valid: np.ndarray, doc_lengths: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
     """One shard: header, then doc ids, validity, id counts, symbol counts, rules, expansion lengths, sequence."""
     seq, rules, doc_symbols = compress(ids, doc_lengths, vocab) if len(ids) else (ids, np.empty((0, 2), np.uint32), np.empty(0, np.int64))
-    wide = vocab + len(rules) > 1 << 16
-    kind = "<u4" if wide else "<u2"
-    head = struct.pack("<8sIIQQB", MAGIC, vocab, len(rules), len(doc_ids), len(seq), wide)
-    parts = [doc_ids.astype("<i8"), valid.astype("u1"), doc_lengths.astype("<u8"), doc_symbols.astype("<u8"), rules.astype("<u4"), expansion_lengths(rules, vocab).astype("<u4"), seq.astype(kind)]
+    # symbols are stored as planes: the low 16 bits of all, then as many bytes more as they need
+    more = max(0, -(-((vocab + len(rules) - 1).bit_length() - 16) // 8))
+    planes = [seq.astype("<u2"), *((seq >> np.uint32(16 + 8 * k)).astype("u1") for k in range(more))]
+    head = struct.pack("<8sIIQQB", MAGIC, vocab, len(rules), len(doc_ids), len(seq), more)
+    parts = [doc_ids.astype("<i8"), valid.astype("u1"), doc_lengths.astype("<u8"), doc_symbols.astype("<u8"), rules.astype("<u4"), expansion_lengths(rules, vocab).astype("<u4"), *planes]
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -94,7 +143,7 @@ class Shard:
     """A read shard; ``document(k)`` decodes one document, ``ids()`` all."""
 
     def __init__(self, raw: bytes):
-        magic, self.vocab, n_rules, n_docs, n_seq, wide = struct.unpack_from("<8sIIQQB", raw)
+        magic, self.vocab, n_rules, n_docs, n_seq, more = struct.unpack_from("<8sIIQQB", raw)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = struct.calcsize("<8sIIQQB")
@@ -107,7 +156,9 @@ class Shard:
 
         self.doc_ids, self.valid, self.lengths, self.symbols = take("<i8", n_docs), take("u1", n_docs).astype(bool), take("<u8", n_docs).astype(np.int64), take("<u8", n_docs).astype(np.int64)
         self.rules, lengths = take("<u4", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules).astype(np.int64)
-        self.seq = take("<u4" if wide else "<u2", n_seq)
+        self.seq = take("<u2", n_seq)
+        for k in range(more):
+            self.seq = self.seq.astype("<u4") | (take("u1", n_seq).astype("<u4") << np.uint32(16 + 8 * k))
         # expansions of all symbols end to end: ids stand for themselves, rules copy what they use
         self.size = np.concatenate([np.ones(self.vocab, np.int64), lengths])
         self.at = np.concatenate([np.arange(self.vocab), self.vocab + np.cumsum(lengths) - lengths]).astype(np.int64)

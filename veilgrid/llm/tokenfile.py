@@ -5,7 +5,7 @@ writes shards of about ``shard_ids`` ids as binary rows of a Parquet table in th
 makes it safe against lost executors. ``read_tokens`` decodes the stored shards.
 
 Defined cases: a null text is empty (only the end id); null doc_ids come first; equal doc_ids are ordered by text; a
-document longer than a shard gets a shard of its own; an empty table writes no shard.
+document is never cut, so a shard ends with the first document that fills it; an empty table writes no shard.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, s
                     yield shard()
         if docs:
             yield shard()
-        release_memory()
+        release_memory("encoders")
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
