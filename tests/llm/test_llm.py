@@ -170,11 +170,27 @@ def test_neighbours(spark):
         if q in (0, 100):
             assert [got[q][k] for k in range(1, 6)] == want
     assert hit / 300 >= 0.9 and set(got) == set(range(0, 3000, 50))
+    extra = df.withColumn("score", F.lit(1)).withColumn("members", F.lit("x")).withColumn("tree", F.lit(0))
+    again = {(r.query_id, r.rank): r.vec_id for r in ann.neighbours(extra, 5, query=F.col("vec_id") % 50 == 0).collect()}
+    assert again == {(q, rank): v for q, x in got.items() for rank, v in x.items()}
     tiny = spark.createDataFrame(rows[:3], df.schema)
     assert [(r.query_id, r.rank) for r in ann.neighbours(tiny, 5, query=F.lit(True)).orderBy("query_id", "rank").collect()] == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2)]
     assert ann.neighbours(df.limit(0), 5, query=F.lit(True)).count() == 0
 
 
+def test_clustered_vectors_need_few_leaves():
+    rng = np.random.default_rng(6)
+    visits = []
+    for clusters in (40, 160):
+        x = np.repeat(rng.normal(size=(clusters, 24)), 100, axis=0) + 0.1 * rng.normal(size=(clusters * 100, 24))
+        u = ann._unit(x)
+        forest = ann.Forest(u, len(u) // 100, 8)
+        picks = rng.choice(len(u), 40, replace=False)
+        near = {k: x[np.argsort(-(u @ u[q]))[1:6]].tolist() for k, q in enumerate(picks.tolist())}
+        visits.append(ann.visits_for(forest, u[picks], near, 0.95))
+    assert visits[1] <= 2 * visits[0]  # four times the rows
+
+
 def test_suffix_arrays():
     for _ in range(300):
         t = [rnd.randint(1, rnd.randint(1, 3)) for _ in range(rnd.randint(0, 50))]

@@ -1,15 +1,19 @@
 """Approximate nearest neighbours by a forest of random-projection trees (operator 5).
 
 Trees split at the median along the difference of two random points, fitted on a bounded sample; every row is indexed.
-A query searches all trees through one shared priority queue ordered by its distance to the nearest side not taken, until
-it has visited ``share`` of a tree's worth of leaves. The rows of each visited leaf are reranked exactly.
+A query searches all trees through one shared priority queue ordered by its distance to the nearest side not taken, and
+the rows of each visited leaf are reranked exactly. How many leaves that are is measured, not set: the true neighbours of
+a bounded set of queries are found by one exact pass over all rows, and the visits are the fewest that reach ``recall`` of
+them. Vectors in clusters need few leaves however many rows there are; vectors without structure need many.
 
 Equal vectors are one class with its smallest ids (k + 1 of them answer any query exactly), so copies neither overfill
-leaves nor multiply work. Leaves that outgrow ``leaf_rows`` because the sample is bounded are dealt to slices. A query
-sends k + 1 candidates per leaf to its final ranking.
+leaves nor multiply work. A leaf that outgrows ``leaf_rows`` because the sample is bounded is dealt to slices, and the
+queries of a leaf to blocks, so a task holds a bounded part of both. A query sends k + 1 candidates per leaf and slice to
+its final ranking.
 
 Defined cases: null, zero or non-finite vectors, and those of another length than most, take no part, nor do null ids;
-fewer than k other rows: all of them; ties: smaller vec_id; an empty table: no rows.
+fewer than k other rows: all of them; ties: smaller vec_id; an empty table: no rows; columns other than vec_id, embedding
+and those of ``query`` are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-FIT_ROWS, TREES, LEAF_ROWS, SHARE = 20_000, 8, 400, 0.9
+FIT_ROWS, TREES, LEAF_ROWS, RECALL = 20_000, 8, 200, 0.95
+#: Queries whose true neighbours set the visits; most queries of a leaf in one task.
+PROBES, BLOCK_QUERIES = 128, 20_000
 
 
 class Tree:
@@ -101,7 +107,41 @@ def _best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, own: n
     return i, j, (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def neighbours(df: DataFrame, k: int = 5, *, query, trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, fit_rows: int = FIT_ROWS) -> DataFrame:
+def _true_neighbours(classes: DataFrame, probes: np.ndarray, k: int) -> dict[int, list[list[float]]]:
+    """Probe number -> vectors of its k nearest in other directions, by one pass over all rows."""
+    q, dim = _unit(probes), probes.shape[1]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                some = b.slice(at, 4096)
+                scores = q @ _unit(_matrix(some.column(1), dim)).T
+                scores[scores > 1 - 1e-12] = -np.inf
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                rows, cols = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(scores[rows, cols]), some.column(0).take(pa.array(cols)), some.column(1).take(pa.array(cols))], ["probe", "score", "cls", "embedding"])
+
+    found = classes.select("cls", "embedding").mapInArrow(run, "probe long, score double, cls long, embedding array<float>")
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), "cls")
+    out: dict[int, list[list[float]]] = {}
+    for r in found.withColumn("r", F.row_number().over(order)).filter((F.col("r") <= k) & (F.col("score") >= -1.1)).collect():
+        out.setdefault(r.probe, []).append(r.embedding)
+    return out
+
+
+def visits_for(forest: Forest, probes: np.ndarray, near: dict[int, list[list[float]]], recall: float) -> int:
+    """The fewest leaves to visit that find ``recall`` of the probes' true neighbours; at least one a tree."""
+    turns = []
+    for k, vectors in near.items():
+        unit = _unit(np.array(vectors, np.float64))
+        place = {pair: turn for turn, pair in enumerate(forest.search(probes[k], sum(t.leaves for t in forest.trees)), 1)}
+        leaves = [tree.route(unit) for tree in forest.trees]
+        turns += [min(place[t, int(leaves[t][j])] for t in range(len(leaves))) for j in range(len(unit))]
+    turns.sort()
+    return max(len(forest.trees), turns[min(len(turns) - 1, int(np.ceil(recall * len(turns))) - 1)] if turns else 0)
+
+
+def neighbours(df: DataFrame, k: int = 5, *, query, trees: int = TREES, leaf_rows: int = LEAF_ROWS, recall: float = RECALL, fit_rows: int = FIT_ROWS) -> DataFrame:
     """df(vec_id, embedding) -> query_id, rank, vec_id, score for the rows where the column ``query`` holds."""
     x = F.col("embedding").cast("array<double>")
     sound = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
@@ -117,8 +157,10 @@ def neighbours(df: DataFrame, k: int = 5, *, query, trees: int = TREES, leaf_row
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(fit_rows).select("embedding").toArrow()["embedding"].combine_chunks()
     leaves = max(1, min(n // leaf_rows, len(sample) // 8))
     forest = Forest(_unit(_matrix(sample, dim)) if len(sample) else np.ones((1, dim)), leaves, trees)
-    most_leaves = max(t.leaves for t in forest.trees)
-    visits = trees if leaves == 1 else max(trees, int(np.ceil(share * most_leaves)))
+    queries = rows.filter(query).dropDuplicates(["vec_id"])
+    probes = _matrix(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).select("embedding").toArrow()["embedding"].combine_chunks(), dim) if leaves > 1 else np.empty((0, dim))
+    near = _true_neighbours(classes, probes, k) if len(probes) else {}
+    visits = visits_for(forest, _unit(probes), near, recall)
     slices = max(1, -(-n // (leaves * leaf_rows * 2)))
     shared = df.sparkSession.sparkContext.broadcast(forest)  # at most fit_rows / 8 hyperplanes a tree
 
@@ -139,9 +181,10 @@ def neighbours(df: DataFrame, k: int = 5, *, query, trees: int = TREES, leaf_row
                     pairs = np.array([p for f in found for p in f], np.int32).reshape(-1, 2)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))], ["tree", "leaf", "query_id", "embedding"])
 
-    queries = rows.filter(query).dropDuplicates(["vec_id"])
-    placed = classes.select("cls", "embedding").mapInArrow(route, "tree int, leaf int, cls long, embedding array<float>").withColumn("slice", F.pmod(F.xxhash64("cls"), F.lit(slices)))
-    asked = queries.mapInArrow(probe, "tree int, leaf int, query_id long, embedding array<float>").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>")))
+    # queries of a leaf on average, in blocks; a leaf's rows go to each block
+    blocks = max(1, -(-queries.count() * visits // (leaves * trees * BLOCK_QUERIES)))
+    placed = classes.select("cls", "embedding").mapInArrow(route, "tree int, leaf int, cls long, embedding array<float>").withColumn("slice", F.pmod(F.xxhash64("cls"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    asked = queries.mapInArrow(probe, "tree int, leaf int, query_id long, embedding array<float>").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>"))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "cls", "score"]
@@ -156,7 +199,7 @@ def neighbours(df: DataFrame, k: int = 5, *, query, trees: int = TREES, leaf_row
             parts.append((qid[at : at + 1000][i], cid[j], s))
         return pa.table([np.concatenate([p[m] for p in parts]) for m in range(3)], names=names)
 
-    keys = ["tree", "leaf", "slice"]
+    keys = ["tree", "leaf", "slice", "block"]
     found = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(rerank, "query_id long, cls long, score double")
     found = found.groupBy("query_id", "cls").agg(F.max("score").alias("score"))
     found = found.join(classes.select("cls", "members"), "cls").select("query_id", "score", F.explode("members").alias("vec_id")).filter("vec_id <> query_id")
