@@ -126,6 +126,11 @@ def city_variants(name: Column) -> Column:
     return F.array_distinct(F.array(F.translate(upper, "ŞŢ", "ȘȚ"), F.translate(upper, "ȘȚ", "ŞŢ")))
 
 
+def stable_number(text: Column) -> Column:
+    """32 bits of a text's MD5: the same in any engine, so that splits and draws can be repeated."""
+    return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def case_of(doc_id: Column) -> Column:
     return F.split_part(doc_id, F.lit("_"), F.lit(1))
 

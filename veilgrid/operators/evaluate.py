@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stable_number
+
 
 def token_labels(tokens: DataFrame, spans: DataFrame, by: list[str], name: str, contained: bool = False) -> DataFrame:
     """tokens(by, pos, start, end) + name: label of the first span (by ord) that overlaps, or contains, the token; else O."""
@@ -60,6 +62,12 @@ def kappa(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.select(*by, "n", F.round(F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe)), 2).alias("kappa"))
 
 
+def pairwise_kappa(marks: DataFrame, by: list[str]) -> DataFrame:
+    """marks(annotator, by, label) -> one, two, n, kappa of each two annotators over what both have marked."""
+    a, b = (marks.select(*by, F.col("annotator").alias(who), F.col("label").alias(x)) for who, x in (("one", "a"), ("two", "b")))
+    return kappa(a.join(b, by).filter("one < two"), ["one", "two"])
+
+
 def char_overlap(gold: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
     """label, tp, n_gold, n_pred, ...: characters that gold and predicted spans(by, s, e, label) share, without exploding them."""
     g, p = gold.alias("g"), pred.alias("p")
@@ -123,7 +131,7 @@ def stratified_split(spans: DataFrame, share: float = 0.1) -> DataFrame:
     """spans(doc, label, s, e) -> doc, part: dev takes documents, in hash order, until each label's mass has its share."""
     mass = spans.groupBy("doc", "label").agg(F.sum(F.col("e") - F.col("s")).alias("m"))
     w = Window.partitionBy("label")
-    run = F.sum("m").over(w.orderBy(F.xxhash64("doc"), "doc"))
+    run = F.sum("m").over(w.orderBy(stable_number(F.col("doc")), "doc"))
     rows = mass.withColumns({"due": F.sum("m").over(w) * share, "before": run - F.col("m")})
     dev = rows.groupBy("doc").agg(F.every(F.col("before") < F.col("due")).alias("dev"))
     return dev.select("doc", F.when(F.col("dev"), "dev").otherwise("train").alias("part"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import apply_suffix, entity_suffix, entity_type, plain_id
+from ..functions.text import apply_suffix, entity_suffix, entity_type, plain_id, stable_number
 
 DELETED = "!DELETE!"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -17,7 +17,7 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def character(ent_id: Column, pattern: Column, seed: int = 0) -> Column:
     """3 to 10 repetitions of the pattern, by a hash of the identifier."""
-    return F.repeat(pattern, (3 + F.pmod(F.xxhash64(ent_id, F.lit(seed)), F.lit(8))).cast("int"))
+    return F.repeat(pattern, (3 + F.pmod(stable_number(F.concat(ent_id, F.lit(f":{seed}"))), F.lit(8))).cast("int"))
 
 
 def counter(entities: DataFrame) -> DataFrame:
@@ -106,7 +106,6 @@ def token_of(replacement: Column, ner: Column, left: Column, suffix: Column, dic
     n = F.size(words)
     begin = F.startswith(ner, F.lit("B-"))
     head = F.array_join(F.slice(words, F.lit(1), F.greatest(n - left + 1, F.lit(1))), " ")
-    body = F.when(n > left, F.get(words, n - left)).when(n == left, F.lit(DELETED)).otherwise(F.lit(DELETED))
     body = F.when(n >= left + 1, F.get(words, n - left)).otherwise(F.lit(DELETED))
     return F.when(begin, head).otherwise(body)
 

@@ -8,10 +8,37 @@ from pyspark.sql import functions as F
 from .mapping import DELETED
 
 
+def clusters(edits: DataFrame, by: list[str], order: tuple[str, ...] = ("s", "e")) -> DataFrame:
+    """+ cluster: number within ``by`` of the run of intervals [s, e) that overlap one another, directly or through others."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    covered = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = edits.withColumn("__fresh", F.coalesce(F.col("s") >= covered, F.lit(True)).cast("int"))
+    return fresh.withColumn("cluster", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
+
+
 def kept_intervals(edits: DataFrame, by: list[str]) -> DataFrame:
-    """edits(by, s, e, replacement) that start after all earlier ones started: later ones on covered ground go."""
-    w = Window.partitionBy(*by).orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    return edits.withColumn("__covered", F.max("e").over(w)).filter(F.col("__covered").isNull() | (F.col("s") >= F.col("__covered"))).drop("__covered")
+    """edits(by, s, e, ...) without those that start before the end of the last one kept, in order of place.
+
+    Only intervals of one cluster can stand in each other's way, so the fold over kept ends runs within clusters.
+    """
+    rest = [c for c in edits.columns if c not in (*by, "s", "e")]
+    own = clusters(edits, by, ("s", "e", *rest)).groupBy(*by, "cluster").agg(F.array_sort(F.collect_list(F.struct("s", "e", *rest))).alias("x"))
+
+    def step(kept, one):
+        return F.when((F.size(kept) == 0) | (one["s"] >= F.element_at(kept, -1)["e"]), F.concat(kept, F.array(one))).otherwise(kept)
+
+    none = F.slice("x", F.lit(1), F.lit(0))
+    kept = own.select(*by, F.explode(F.when(F.size("x") == 1, F.col("x")).otherwise(F.aggregate("x", none, step))).alias("k"))
+    return kept.select(*[c if c in by else F.col(f"k.`{c}`").alias(c) for c in edits.columns])
+
+
+def merged_spans(spans: DataFrame, by: list[str]) -> DataFrame:
+    """spans(by, s, e, type, ord) -> by, s, e, type: each cluster as one span, so no covered character is left out.
+
+    It is of the type of its longest span; of equally long ones the later in order of precedence names it.
+    """
+    own = clusters(spans, by).groupBy(*by, "cluster")
+    return own.agg(F.min("s").alias("s"), F.max("e").alias("e"), F.max_by("type", F.struct(F.col("e") - F.col("s"), "ord", "type")).alias("type")).drop("cluster")
 
 
 def rebuild(docs: DataFrame, edits: DataFrame, by: list[str], text: str = "text", as_bytes: bool = False) -> DataFrame:

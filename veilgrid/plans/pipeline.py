@@ -13,12 +13,15 @@ from ..operators import annotate, encode, rebuild
 Step = Callable[[DataFrame], DataFrame]
 
 
-def chain(df: DataFrame, steps: list[tuple[str, Step]]) -> DataFrame:
-    """The named steps in order; the first that fails names itself."""
+def chain(df: DataFrame, steps: list[tuple[str, Step]], dump: str | None = None) -> DataFrame:
+    """The named steps in order; the first that fails names itself. ``dump`` names a folder that keeps each step's rows."""
 
     def apply(now: DataFrame, step: tuple[str, Step]) -> DataFrame:
         try:
-            return step[1](now)
+            out = step[1](now)
+            if dump:
+                out.write.mode("overwrite").parquet(f"{dump}/{step[0]}")
+            return out
         except Exception as e:
             e.add_note(f"in step {step[0]}")
             raise
@@ -27,11 +30,14 @@ def chain(df: DataFrame, steps: list[tuple[str, Step]]) -> DataFrame:
 
 
 def found_entities(docs: DataFrame, families: tuple[str, ...]) -> DataFrame:
-    """docs(doc_id, case_id, text) -> case_id, doc_id, first_pos, s, e, type, text of the pattern entities, none overlapping."""
+    """docs(doc_id, case_id, text) -> case_id, doc_id, first_pos, s, e, type, text of the pattern entities.
+
+    Spans that overlap are one entity, from the first's start to the last's end: nothing that a family found stays.
+    """
     spans = docs.select("doc_id", "case_id", "text", annotate.pattern_spans(F.col("text"), families).alias("spans")).filter(F.size("spans") > 0)
-    rows = spans.select("case_id", "doc_id", "text", F.explode("spans").alias("x"))
-    rows = rows.select("case_id", "doc_id", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.label").alias("type"), F.substring("text", F.col("x.s") + 1, F.col("x.e") - F.col("x.s")).alias("text"))
-    return rebuild.kept_intervals(rows, ["doc_id"]).withColumn("first_pos", F.col("s"))
+    rows = spans.select("doc_id", F.posexplode("spans").alias("ord", "x")).select("doc_id", "ord", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.label").alias("type"))
+    whole = rebuild.merged_spans(rows, ["doc_id"]).join(spans.select("doc_id", "case_id", "text"), "doc_id")
+    return whole.select("case_id", "doc_id", "s", "e", "type", F.substring("text", F.col("s") + 1, F.col("e") - F.col("s")).alias("text"), F.col("s").alias("first_pos"))
 
 
 def anonymize(docs: DataFrame, families: tuple[str, ...] = ("EMAIL",), known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import label_type
+from ..functions.text import label_type, stable_number
 
 BASE = ("id", "form", "lemma", "upos", "xpos", "feats", "head", "deprel", "deps", "misc", "start", "end")
 
 
-def lines(spark: SparkSession, paths, name: Column | None = None) -> DataFrame:
-    """doc, line_no, line: the lines of each file in order, one row per line.
+def lines(spark: SparkSession, paths, name: Column | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """doc, line_no, line: the lines of each file in order, one row per line. UTF-16 files may have a byte order mark.
 
     Order inside a file is kept by reading it whole; a file is a document, so this is bounded by a document.
     """
-    text = spark.read.option("wholetext", True).text(paths).withColumn("doc", name if name is not None else F.col("_metadata.file_path"))
+    if encoding == "UTF-8":
+        text = spark.read.option("wholetext", True).text(paths)
+    else:
+        text = spark.read.format("binaryFile").load(paths).withColumn("value", F.decode("content", encoding))
+    text = text.withColumn("doc", name if name is not None else F.col("_metadata.file_path"))
     return text.select("doc", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
@@ -63,6 +67,17 @@ def validate(rows: DataFrame) -> DataFrame:
     return rows.select("doc").distinct().join(found, "doc", "left").select("doc", (F.coalesce("ids", F.lit(True)) & F.coalesce("even", F.lit(True))).alias("valid"))
 
 
+def validate_all(rows: DataFrame) -> DataFrame:
+    """valid: whether every file is; no file at all is valid."""
+    return validate(rows).agg(F.coalesce(F.every("valid"), F.lit(True)).alias("valid"))
+
+
+def write_parts(tokens: DataFrame, columns: list[str], path: str, seed: int = 7) -> None:
+    """The train, dev and test files of ``train_split`` under path/part=..., one text row per document."""
+    parts = train_split(tokens.select("doc").distinct(), seed)
+    render(tokens, columns).join(parts, "doc").select("part", "value").write.partitionBy("part").text(path)
+
+
 def require_fields(tokens: DataFrame, least: int = 14) -> DataFrame:
     """tokens(fields) whose rows have at least ``least`` fields; fewer raise."""
     return tokens.withColumn("fields", F.when(F.size("fields") >= least, F.col("fields")).otherwise(F.raise_error(F.concat(F.lit("too few fields: "), F.size("fields").cast("string")))))
@@ -90,5 +105,5 @@ def ner_of(tokens: DataFrame, field: int = -1) -> DataFrame:
 
 def train_split(tokens: DataFrame, seed: int = 7) -> DataFrame:
     """+ part: train, dev or test (60, 20, 20 of a hundred) by a hash of the document, so reruns agree."""
-    h = F.pmod(F.xxhash64(F.col("doc"), F.lit(seed)), F.lit(100))
+    h = F.pmod(stable_number(F.concat(F.col("doc").cast("string"), F.lit(f":{seed}"))), F.lit(100))
     return tokens.withColumn("part", F.when(h < 60, "train").when(h < 80, "dev").otherwise("test"))

@@ -35,7 +35,12 @@ def longest_entry(entries: DataFrame) -> int:
 
 def read_replacements(spark: SparkSession, path) -> DataFrame:
     """type, place, candidate: the pool of each type in file order."""
-    rows = _rows(spark, path).filter(F.size("f") == 2).select(F.col("f")[0].alias("type"), F.trim(F.col("f")[1]).alias("candidate"), "at")
+    return replacements(_rows(spark, path).filter(F.size("f") == 2).select(F.col("f")[0].alias("type"), F.col("f")[1].alias("candidate"), "at"))
+
+
+def replacements(rows: DataFrame) -> DataFrame:
+    """rows(type, candidate, at) -> type, place, candidate, trimmed and numbered in order."""
+    rows = rows.withColumn("candidate", F.trim("candidate"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("type").orderBy("at"))).drop("at")
 
 
@@ -60,6 +65,14 @@ def case_map(rows: DataFrame) -> DataFrame:
     return last.select("case_id", "text", "x.ent_id", "x.replacement")
 
 
+def case_initials(cases: DataFrame) -> DataFrame:
+    """cases(case_id, text, replacement) of initials -> case_id, part, letter: what each part of a name stands as; the
+    smallest letter where texts disagree. Parts without a letter are left out."""
+    cut = lambda c: F.split(F.trim(c), r"[\s-]+")
+    both = cases.select("case_id", F.explode(F.arrays_zip(cut("text").alias("part"), cut("replacement").alias("letter"))).alias("x")).select("case_id", "x.part", "x.letter")
+    return both.filter("part <> '' and letter <> ''").groupBy("case_id", "part").agg(F.min("letter").alias("letter"))
+
+
 def upsert_case_map(old: DataFrame, new: DataFrame) -> DataFrame:
     """old and new(case_id, ent_id, replacement): a new replacement follows an old one after a blank."""
     both = old.alias("o").join(new.alias("n"), ["case_id", "ent_id"], "full_outer")

@@ -44,24 +44,44 @@ def run_batch(tasks: DataFrame, steps: list[Callable[[DataFrame], DataFrame]]) -
     return good, checked.filter("error is not null").select("task_id", "error")
 
 
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at path, or none where nothing has been written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))
+    return spark.read.parquet(path) if found else None
+
+
+def _unwritten(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    done = _written(spark, path)
+    return rows if done is None else open_tasks(rows, done)
+
+
 def start(spark: SparkSession, folder: str, out: str, steps: list[Callable[[DataFrame], DataFrame]], trigger: dict | None = None):
-    """Polls a folder of JSON tasks. Each batch skips what has a result, so a replay writes nothing twice."""
+    """Polls a folder of JSON tasks. Results, dead letters and states each skip the tasks they already hold, so a replay
+    of a batch that failed anywhere writes nothing twice."""
     source = spark.readStream.schema(TASK).json(folder)
 
     def batch(tasks: DataFrame, number: int) -> None:
-        done_path = f"{out}/done"
-        try:
-            tasks = open_tasks(tasks, spark.read.parquet(done_path))
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        good, bad = run_batch(tasks.dropDuplicates(["task_id"]), steps)
-        good.write.mode("append").parquet(done_path)
-        bad.write.mode("append").parquet(f"{out}/errors")
+        tasks = _unwritten(tasks.dropDuplicates(["task_id"]), spark, f"{out}/done")
+        state = lambda rows, name: rows.select("task_id", F.lit(name).alias("state"), F.lit(number).cast("long").alias("batch"))
+        _unwritten(state(tasks, "RUNNING"), spark, f"{out}/running").write.mode("append").parquet(f"{out}/running")
+        good, bad = run_batch(tasks, steps)
+        _unwritten(bad, spark, f"{out}/errors").write.mode("append").parquet(f"{out}/errors")
+        good.write.mode("append").parquet(f"{out}/done")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", f"{out}/checkpoint").trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def states(spark: SparkSession, out: str) -> DataFrame:
+    """task_id, state, at of what ``start`` has written, as ``statuses`` takes it."""
+    parts = [(f"{out}/running", "RUNNING", 0), (f"{out}/errors", "ERROR", 1), (f"{out}/done", "DONE", 2)]
+    rows = spark.createDataFrame([], "task_id string, state string, at int")
+    for path, name, at in parts:
+        if (found := _written(spark, path)) is not None:
+            rows = rows.unionByName(found.select("task_id", F.lit(name).alias("state"), F.lit(at).alias("at")))
+    return rows
+
+
 def stream_case_ids(mentions: DataFrame) -> DataFrame:
     """A stream of mentions(case_id, doc_id, pos, type, text) -> case_id, text, ent_id of the new texts of each batch.
 
