@@ -186,3 +186,58 @@ def test_tasks(spark):
     assert [tuple(r) for r in ok.collect()] == [("1", "salut")]
     assert {r.task_id: r.error for r in bad.collect()} == {"2": "missing caseid", "3": "document is not base64"}
     assert json.loads(json.dumps({"n": 1})) == {"n": 1}
+
+
+def test_chains_of_overlaps(spark):
+    spans = spark.createDataFrame([("d", 0, 5, "A", 0), ("d", 3, 10, "B", 1), ("d", 7, 12, "C", 2), ("e", 1, 2, "A", 0)], "doc string, s int, e int, type string, ord int")
+    assert sorted((r.doc, r.s, r.e) for r in rebuild.kept_intervals(spans, ["doc"]).collect()) == [("d", 0, 5), ("d", 7, 12), ("e", 1, 2)]
+    assert sorted((r.doc, r.s, r.e, r.type) for r in rebuild.merged_spans(spans, ["doc"]).collect()) == [("d", 0, 12, "B"), ("e", 1, 2, "A")]
+    docs = spark.createDataFrame([("d", "0123456789abcdef")], "doc string, text string")
+    edits = spans.filter("doc = 'd'").selectExpr("doc", "s", "e", "type as replacement")
+    assert rebuild.rebuild(docs, edits, ["doc"]).first().text == "A56Ccdef"
+
+
+def test_alignment_prefers_the_largest_likeness():
+    assert align(["ab", "c"], ["a", "b", "c"]) == [(0, 0), (1, 2)]
+    assert align(["x", "y", "z"], ["q", "x", "y", "z", "w"]) == [(0, 1), (1, 2), (2, 3)]
+    assert align(["a", "a"], ["a"]) == [(0, 0)] and align(["a"], ["b"]) == []
+
+
+def test_task_stream_writes_nothing_twice(spark, tmp_path):
+    import base64
+    import json
+
+    from veilgrid.streaming import tasks
+
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    text = base64.b64encode("ă b".encode()).decode()
+    rows = [{"task_id": "1", "caseid": "c", "docid": "d", "document": text, "type": "x"}, {"task_id": "2", "caseid": "", "docid": "d", "document": text, "type": "x"}, {"task_id": "1", "caseid": "c", "docid": "d", "document": text, "type": "x"}]
+    for k in range(2):  # the second file repeats the first
+        (folder / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        tasks.start(spark, str(folder), out, [], {"availableNow": True}).awaitTermination()
+    assert [r.text for r in spark.read.parquet(f"{out}/done").collect()] == ["ă b"]
+    assert [r.task_id for r in spark.read.parquet(f"{out}/errors").collect()] == ["2"]
+    found = tasks.statuses(spark.createDataFrame([("1",), ("2",), ("3",)], "task_id string"), tasks.states(spark, out))
+    assert {r.task_id: r.status for r in found.collect()} == {"1": "DONE", "2": "ERROR", "3": "SCHEDULED"}
+
+
+def test_files_of_other_encodings(spark, tmp_path):
+    (tmp_path / "a.conllup").write_bytes("# k = v\n1\tășț\n\n1\tx".encode("utf-16"))
+    rows = conllu.lines(spark, str(tmp_path / "a.conllup"), F.lit("a"), "UTF-16")
+    assert [(r.sent_id, r.form) for r in conllu.from_lines(rows, ("id", "form")).orderBy("pos").collect()] == [(0, "ășț"), (1, "x")]
+    tokens = spark.createDataFrame([(str(k), 0, 0, 1, "w") for k in range(40)], "doc string, sent_id int, pos int, id int, form string")
+    conllu.write_parts(tokens, ["id", "form"], str(tmp_path / "parts"))
+    parts = spark.read.option("wholetext", True).text(str(tmp_path / "parts")).groupBy("part").count().collect()
+    assert {r.part for r in parts} == {"train", "dev", "test"}
+
+
+def test_docx_round_trip(spark, tmp_path):
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", '<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Ion &amp; Ana</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "a.docx").write_bytes(buffer.getvalue())
+    assert "Ion &amp; Ana" in markup.read_docx(spark, str(tmp_path / "a.docx")).first()[1]

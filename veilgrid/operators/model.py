@@ -62,13 +62,14 @@ def log_softmax(scores: Column) -> Column:
 
 
 def tag(tokens: DataFrame, load: Callable[[], Callable]) -> DataFrame:
-    """tokens(doc_id, sent_id, pos, form) + ner from a model: ``load`` runs once per worker and gives forms -> labels."""
+    """tokens(doc_id, sent_id, pos, form) + ner from a model: ``load`` runs once per worker and gives what takes a batch of
+    sentences (lists of forms) to their lists of labels."""
     sentences = tokens.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "form"))).alias("t"))
 
     def run(parts):
         model = load_once(load)
         for p in parts:
-            yield p.assign(n=[model([t["form"] for t in x]) for x in p["t"]])
+            yield p.assign(n=model([[t["form"] for t in x] for x in p["t"]]))
 
     labelled = sentences.mapInPandas(run, "doc_id string, sent_id int, t array<struct<pos: int, form: string>>, n array<string>".replace("doc_id string", f"doc_id {dict(tokens.dtypes)['doc_id']}").replace("sent_id int", f"sent_id {dict(tokens.dtypes)['sent_id']}"))
     rows = labelled.select("doc_id", "sent_id", F.explode(F.arrays_zip("t", "n")).alias("x")).select("doc_id", "sent_id", F.col("x.t.pos").alias("pos"), F.col("x.n").alias("ner"))

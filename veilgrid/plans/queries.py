@@ -282,7 +282,7 @@ _STEM = "CASE WHEN length({0}) < 4 THEN {0} WHEN {0} LIKE '%ei' THEN left({0}, l
 
 
 @_register(f"""WITH RECURSIVE w AS (SELECT doc_id, pos, lower({_STEM.format('form')}) AS f, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS w_no FROM ({_WORDS})),
-g AS (SELECT array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS key, max_by(p_type, p_partkey) AS ner FROM part WHERE p_size < 12 GROUP BY 1),
+g AS (SELECT array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS key, max_by(p_type, p_partkey) AS ner FROM part GROUP BY 1),
 c AS (SELECT a.doc_id, a.w_no, g.ner FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.w_no = a.w_no + 1 JOIN g ON g.key = CASE WHEN a.f <= b.f THEN a.f || ' ' || b.f ELSE b.f || ' ' || a.f END),
 r AS (SELECT doc_id, min(w_no) AS w_no FROM c GROUP BY doc_id UNION ALL SELECT r.doc_id, (SELECT min(c.w_no) FROM c WHERE c.doc_id = r.doc_id AND c.w_no >= r.w_no + 2) FROM r WHERE r.w_no IS NOT NULL),
 t AS (SELECT r.doc_id, r.w_no, c.ner FROM r JOIN c USING (doc_id, w_no)),
@@ -291,7 +291,7 @@ SELECT w.doc_id, w.pos, coalesce(s.ner, 'O') AS ner FROM w LEFT JOIN s USING (do
 def dictionary_match(spark, d):
     for t in ("lineitem", "part"):
         _t(spark, d, t).createOrReplaceTempView(t)
-    entries = gazetteer.gazetteer(_t(spark, d, "part").filter("p_size < 12").selectExpr("p_type as ner", "p_name as name", "p_partkey as at"))
+    entries = gazetteer.gazetteer(_t(spark, d, "part").selectExpr("p_type as ner", "p_name as name", "p_partkey as at"))
     words = spark.sql(_WORDS).selectExpr("doc_id", "sent_id", "cast(pos as bigint) as pos", "form")
     return match.dictionary(words, entries, 2).select("doc_id", "pos", "ner")
 
@@ -407,12 +407,6 @@ def map_initials(spark, d):
     return mapping.initials(encode.allocate(_entities(spark, d))).select("case_id", "seq", "replacement")
 
 
-@_register(None)
-def map_character(spark, d):
-    ids = encode.allocate(_entities(spark, d))
-    return ids.select("case_id", "ent_id", mapping.character(F.col("ent_id"), F.lit("X")).alias("replacement"))
-
-
 @_register("""SELECT o_custkey AS case_id, '#X' || o_orderkey AS ent_id, CASE WHEN o_orderkey % 3 = 0 THEN 'old new' WHEN o_orderkey % 3 = 1 THEN 'old' ELSE 'new' END AS replacement FROM orders""")
 def case_map_upsert(spark, d):
     o = _t(spark, d, "orders").selectExpr("o_custkey as case_id", "concat('#X', o_orderkey) as ent_id", "o_orderkey % 3 as k")
@@ -615,23 +609,6 @@ def task_dead_letter(spark, d):
     return tasks.split_valid(rows).filter("error is not null").select("task_id", "error")
 
 
-@_register("SELECT s_suppkey % 5 = 4 AS ok, CASE WHEN s_suppkey % 5 <> 4 THEN s_name END AS failed, s_suppkey FROM supplier")
-def health(spark, d):
-    rows = _t(spark, d, "supplier").selectExpr("s_suppkey", "1 as place", "s_name as name", "s_suppkey % 5 = 4 as ok")
-    return rows.groupBy("s_suppkey").agg(F.every("ok").alias("ok"), F.min_by("name", F.when(~F.col("ok"), F.col("place"))).alias("failed"))
-
-
-@_register(None)
-def train_split(spark, d):
-    return conllu.train_split(_t(spark, d, "documents").selectExpr("cast(doc_id as string) as doc")).select("doc", "part")
-
-
-@_register(None)
-def stratified_split(spark, d):
-    _t(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    return evaluate.stratified_split(spark.sql(_SPANS))
-
-
 @_register(None)
 def case_state_stream(spark, d):
     """The identifiers that a stream of mentions gets, batch by batch, until the source is read."""
