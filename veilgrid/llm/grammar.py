@@ -7,6 +7,9 @@ a rule takes 12 bytes, a use of it saves a symbol of two or three. Pairs never c
 
 A shard stores its rules, each rule's expansion length, the symbol sequence and the documents' symbol offsets: a document,
 or any range of its ids, is found by prefix sums of expansion lengths and decoded without the rest.
+
+After the first round only places are looked at that can still matter: those whose pair was frequent, and those beside a
+new symbol. No other pair can become frequent, as replacing never puts two old symbols side by side.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ import struct
 import numpy as np
 
 MAGIC = b"VGRP2\0\0\0"
-#: Uses that pay for a rule; pairs chosen in a round; rounds that choose fewer than FEW count exactly from then on.
-LEAST, MOST, FEW = 6, 16_384, 512
+#: Uses that pay for a rule; pairs chosen in a round; so few places are counted by sorting.
+LEAST, MOST, FEW = 6, 16_384, 300_000
 _SLOTS = 1 << 20
 
 
@@ -41,20 +44,24 @@ def _choose(pairs: np.ndarray, counts: np.ndarray, least: int, most: int) -> lis
     return keep
 
 
-def _by_slots(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, rules and pairs of a round, counted by hash slots; another hash each turn, as a slot counts its first pair only."""
+def _by_slots(left: np.ndarray, right: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, their rules, the pairs of a round, and the places that may be frequent, counted by hash slots.
+
+    Another hash each turn, as a slot counts its first pair only.
+    """
     odd = np.uint32(0x85EBCA6B + 2 * turn * 0x51ED270B & 0xFFFFFFFF)
-    slot = (((left * np.uint32(0x9E3779B1)) ^ (right * odd)) >> np.uint32(12)).astype(np.intp)
-    slot[~inner] = _SLOTS  # one slot more for pairs across documents, never chosen
-    count = np.bincount(slot, minlength=_SLOTS + 1)[:_SLOTS]
-    top = np.flatnonzero(count >= least)
+    slot = ((left * np.uint32(0x9E3779B1)) ^ (right * odd)) >> np.uint32(12)
+    count = np.bincount(slot, minlength=_SLOTS)
+    often = np.flatnonzero(count >= least)
+    maybe = np.flatnonzero((count >= least).take(slot))
+    top = often
     if len(top) > 4 * most:
         top = top[np.argpartition(-count[top], 4 * most)[: 4 * most]]
-    rank = np.full(_SLOTS + 1, -1, np.int32)
+    rank = np.full(_SLOTS, -1, np.int32)
     rank[top] = np.arange(len(top))
-    ranks = rank.take(slot)
-    at = np.flatnonzero(ranks >= 0)
-    r = ranks[at]
+    r = rank.take(slot[maybe])
+    at = maybe[r >= 0] if len(top) < len(often) else maybe
+    r = r[r >= 0]
     pair = np.zeros((len(top), 2), np.uint32)
     a, b = left[at], right[at]
     pair[r[::-1], 0], pair[r[::-1], 1] = a[::-1], b[::-1]  # the first pair met stands for its slot
@@ -64,31 +71,29 @@ def _by_slots(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int
     number[keep] = np.arange(len(keep))
     rule = number[r]
     ok = same & (rule >= 0)
-    return at[ok], rule[ok], pair[keep]
+    return at[ok], rule[ok], pair[keep], maybe
 
 
-def _exactly(left: np.ndarray, right: np.ndarray, inner: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _exactly(left: np.ndarray, right: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As ``_by_slots``, from sorted pairs: none that is frequent is missed."""
-    where = np.flatnonzero(inner)
-    key = (left[where].astype(np.uint64) << np.uint64(32)) | right[where]
-    kinds, count = np.unique(key, return_counts=True)
-    kinds, count = kinds[count >= least], count[count >= least]
-    pair = np.stack([kinds >> np.uint64(32), kinds & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-    keep = sorted(_choose(pair, count, least, most))
-    if not keep:
-        return where[:0], np.empty(0, np.int32), pair[:0]
-    chosen = kinds[keep]
-    rule = np.minimum(np.searchsorted(chosen, key), len(chosen) - 1)
-    ok = chosen[rule] == key
-    return where[ok], rule[ok].astype(np.int32), pair[keep]
-
-
-def _from_left(at: np.ndarray, rule: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Without every second place of a run of one symbol, as those overlap the places before."""
+    key = (left.astype(np.uint64) << np.uint64(32)) | right
+    kinds, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count >= least)
+    pair = np.stack([kinds[often] >> np.uint64(32), kinds[often] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    keep = _choose(pair, count[often], least, most)
+    number = np.full(len(kinds), -1, np.int32)
+    number[often[keep]] = np.arange(len(keep))
+    rule = number[which]
+    at = np.flatnonzero(rule >= 0)
+    return at, rule[at], pair[keep], np.flatnonzero((count >= least)[which])
+
+
+def _from_left(at: np.ndarray, rule: np.ndarray, pairs: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without every second place of a run of one symbol, as those overlap the places before. after: each place's next."""
     equal = (pairs[:, 0] == pairs[:, 1])[rule]
     if not equal.any():
         return at, rule
-    fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | ~equal[1:] | (rule[1:] != rule[:-1])])
+    fresh = np.concatenate([[True], (at[1:] != after[:-1]) | ~equal[1:] | (rule[1:] != rule[:-1])])
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
     stay = ~equal | ((np.arange(len(at)) - start) % 2 == 0)
     return at[stay], rule[stay]
@@ -96,28 +101,40 @@ def _from_left(at: np.ndarray, rule: np.ndarray, pairs: np.ndarray) -> tuple[np.
 
 def compress(ids: np.ndarray, doc_lengths: np.ndarray, first_free: int, most: int = MOST, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, rules[n, 2], symbols of each document). Rule k makes symbol first_free + k."""
+    size = len(ids)
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(doc_lengths) - 1] = True  # documents are never empty: each ends with the end id
-    rules, n, turn, exact = [np.empty((0, 2), np.uint32)], 0, 0, False
-    while len(seq) > 1:
-        if exact:
-            at, rule, pairs = _exactly(seq[:-1], seq[1:], ~last[:-1], least, most)
-        else:
-            at, rule, pairs = _by_slots(seq[:-1], seq[1:], ~last[:-1], least, most, turn)
+    ends = np.cumsum(doc_lengths)  # documents are never empty: each ends with the end id
+    # places form a list per document; ``size`` stands for none
+    after, before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
+    after[ends - 1] = size
+    before[np.concatenate([[0], ends[:-1]])] = size
+    gone = np.zeros(size + 1, bool)
+    gone[size] = True
+    where = np.flatnonzero(after < size)
+    rules, n, turn = [np.empty((0, 2), np.uint32)], 0, 0
+    while len(where):
+        follow = after[where]
+        exact = len(where) <= FEW
+        at, rule, pairs, maybe = _exactly(seq[where], seq[follow], least, most) if exact else _by_slots(seq[where], seq[follow], least, most, turn)
         turn += 1
-        if not len(pairs) and exact:
+        if exact and not len(pairs):
             break
-        exact = exact or len(pairs) < FEW
-        at, rule = _from_left(at, rule, pairs)
+        at, rule = _from_left(where[at], rule, pairs, follow[at])
+        second = after[at]
         seq[at] = (first_free + n + rule).astype(np.uint32)
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        gone[second] = True
+        after[at] = third = after[second]
+        inner = third < size
+        before[third[inner]] = at[inner]
+        beside = np.concatenate([where[maybe], at, before[at]])
+        beside = beside[~gone[beside]]
+        mark = np.zeros(size, bool)
+        mark[beside[after[beside] < size]] = True
+        where = np.flatnonzero(mark)
         rules.append(pairs)
         n += len(pairs)
-    return seq, np.concatenate(rules), np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
+    alive = ~gone[:size]
+    return seq[alive], np.concatenate(rules), np.diff(np.concatenate([[0], np.cumsum(alive)[ends - 1]]))
 
 
 def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
