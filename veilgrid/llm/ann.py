@@ -8,8 +8,8 @@ them. Vectors in clusters need few leaves however many rows there are; vectors w
 
 Equal vectors are one class with its smallest ids (k + 1 of them answer any query exactly), so copies neither overfill
 leaves nor multiply work. A leaf that outgrows ``leaf_rows`` because the sample is bounded is dealt to slices, and the
-queries of a leaf to blocks, so a task holds a bounded part of both. A query sends k + 1 candidates per leaf and slice to
-its final ranking.
+queries to blocks, so a task holds a bounded part of both. A task takes a group of neighbouring leaves, and a query sends
+k + 1 candidates for each to its final ranking.
 
 Defined cases: null, zero or non-finite vectors, and those of another length than most, take no part, nor do null ids;
 fewer than k other rows: all of them; ties: smaller vec_id; an empty table: no rows; columns other than vec_id, embedding
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 FIT_ROWS, TREES, LEAF_ROWS, RECALL = 20_000, 8, 200, 0.95
-#: Queries whose true neighbours set the visits; most queries of a leaf in one task.
+#: Queries whose true neighbours set the visits; most queries of a group of leaves in one task.
 PROBES, BLOCK_QUERIES = 128, 20_000
+#: Neighbouring leaves of a tree that one task reranks together: a query sends k + 1 candidates for all of them.
+GROUP_LEAVES = 64
 
 
 class Tree:
@@ -176,30 +178,54 @@ def neighbours(df: DataFrame, k: int = 5, *, query, trees: int = TREES, leaf_row
             if b.num_rows:
                 q = _matrix(b.column(1), dim)
                 for at in range(0, len(q), 200):
-                    found = [shared.value.search(u, visits) for u in _unit(q[at : at + 200])]
-                    who = np.repeat(np.arange(at, at + len(found)), [len(f) for f in found])
-                    pairs = np.array([p for f in found for p in f], np.int32).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), b.column(0).take(pa.array(who)), b.column(1).take(pa.array(who))], ["tree", "leaf", "query_id", "embedding"])
-
-    # queries of a leaf on average, in blocks; a leaf's rows go to each block
-    blocks = max(1, -(-queries.count() * visits // (leaves * trees * BLOCK_QUERIES)))
-    placed = classes.select("cls", "embedding").mapInArrow(route, "tree int, leaf int, cls long, embedding array<float>").withColumn("slice", F.pmod(F.xxhash64("cls"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    asked = queries.mapInArrow(probe, "tree int, leaf int, query_id long, embedding array<float>").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<long>"))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+                    who, tree, group, held = [], [], [], []
+                    for k, u in enumerate(_unit(q[at : at + 200]), at):
+                        own: dict[tuple[int, int], list[int]] = {}
+                        for t, leaf in shared.value.search(u, visits):
+                            own.setdefault((t, leaf // GROUP_LEAVES), []).append(leaf)
+                        for (t, g), leaves_ in own.items():
+                            who.append(k), tree.append(t), group.append(g), held.append(leaves_)
+                    rows_ = pa.array(who)
+                    yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(group, pa.int32()), b.column(0).take(rows_), b.column(1).take(rows_), pa.array(held, pa.list_(pa.int32()))], ["tree", "group", "query_id", "embedding", "leaves"])
+
+    # queries of a group on average, in blocks; a group's rows go to each block
+    n_groups = trees * -(-leaves // GROUP_LEAVES)
+    blocks = max(1, -(-queries.count() * min(visits, n_groups) // (n_groups * BLOCK_QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    placed = classes.select("cls", "embedding").mapInArrow(route, "tree int, leaf int, cls long, embedding array<float>").withColumn("group", F.floor(F.col("leaf") / GROUP_LEAVES).cast("int"))
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("cls"), F.lit(slices))).withColumn("block", every(blocks))
+    asked = queries.mapInArrow(probe, "tree int, group int, query_id long, embedding array<float>, leaves array<int>").withColumn("slice", every(slices)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "cls", "score"]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        left, right = left.combine_chunks(), right.sort_by("cls").combine_chunks()
-        qid, cid = left["query_id"].to_numpy(), right["cls"].to_numpy()
+        left, right = left.combine_chunks(), right.sort_by([("leaf", "ascending"), ("cls", "ascending")]).combine_chunks()
+        cid, leaf = right["cls"].to_numpy(), right["leaf"].to_numpy()
         q, c = _matrix(left["embedding"].combine_chunks(), dim), _matrix(right["embedding"].combine_chunks(), dim)
+        visited = left["leaves"].combine_chunks()
+        asks, wanted = np.repeat(np.arange(len(q)), np.diff(visited.offsets.to_numpy())), visited.flatten().to_numpy()
+        order = np.argsort(wanted, kind="stable")
+        asks, wanted = asks[order], wanted[order]
         parts = []
-        for at in range(0, len(qid), 1000):
-            i, j, s = _best(qid[at : at + 1000], q[at : at + 1000], cid, c, cid, k + 1)
-            parts.append((qid[at : at + 1000][i], cid[j], s))
-        return pa.table([np.concatenate([p[m] for p in parts]) for m in range(3)], names=names)
-
-    keys = ["tree", "leaf", "slice", "block"]
+        for one in np.unique(wanted).tolist():
+            who = asks[slice(*np.searchsorted(wanted, [one, one + 1]))]
+            lo, hi = np.searchsorted(leaf, [one, one + 1])
+            for at in range(0, len(who) if hi > lo else 0, 1000):
+                some = who[at : at + 1000]
+                i, j, s = _best(some, q[some], cid[lo:hi], c[lo:hi], cid, k + 1)
+                parts.append((some[i], cid[lo:hi][j], s))
+        if not parts:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        who, near, score = (np.concatenate([p[m] for p in parts]) for m in range(3))
+        order = np.lexsort((near, -np.round(score, 12), who))
+        who, near, score = who[order], near[order], score[order]
+        first = np.concatenate([[True], who[1:] != who[:-1]])
+        rank = np.arange(len(who)) - np.maximum.accumulate(np.where(first, np.arange(len(who)), 0))
+        top = rank <= k
+        return pa.table([pa.array(left["query_id"].to_numpy()[who[top]]), pa.array(near[top]), pa.array(score[top])], names=names)
+
+    keys = ["tree", "group", "slice", "block"]
     found = asked.groupBy(*keys).cogroup(placed.groupBy(*keys)).applyInArrow(rerank, "query_id long, cls long, score double")
     found = found.groupBy("query_id", "cls").agg(F.max("score").alias("score"))
     found = found.join(classes.select("cls", "members"), "cls").select("query_id", "score", F.explode("members").alias("vec_id")).filter("vec_id <> query_id")
