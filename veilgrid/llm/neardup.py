@@ -330,7 +330,8 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     blocks = _crowded(rare.filter(F.col("n") > CROWD).select("value", "node", "root"), texts, words, threshold)
     more = materialize(_verified(rest, texts, words, threshold).unionByName(blocks), "more-links")
     if not more.isEmpty():
-        found = components(links.unionByName(more))
+        # what is connected already enters as stars
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
     named = nodes.select("node", "key", "doc_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     ids = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), first.alias("class_key"), F.count("*").alias("class_texts"))
