@@ -227,27 +227,31 @@ def block_links(nodes: list[int], roots: list[int], sides: list[int], texts: lis
 
 
 def _rare(nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
-    """nodes(node, root) -> value, node, root: the rarest shingles of each node, of just over 1 - threshold of its weight.
+    """nodes(node, root, apart) -> value, node, root, lead: who shares rare shingles of the nodes that are ``apart``.
 
-    Rarity is counted over these nodes; ties go by the shingle, so all nodes have one order.
+    lead: the value is among the node's rarest shingles, of just over 1 - threshold of its weight; others hold it anywhere.
+    Rarity is counted over all these nodes; ties go by the shingle. Only shingles of nodes apart are ranked.
     """
 
     def run(batches):
         for b in batches:
-            for at, end in _slices(b.column(2)):
-                doc, value, count = shingles(b.column(2).slice(at, end - at).to_pylist(), words)
+            for at, end in _slices(b.column(3)):
+                doc, value, count = shingles(b.column(3).slice(at, end - at).to_pylist(), words)
                 total = np.bincount(doc, count, minlength=end - at)
                 rows = pa.array(at + doc)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(value.view(np.int64)), pa.array(count / total[doc])], ["node", "root", "value", "share"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in range(3)), pa.array(value.view(np.int64)), pa.array(count / total[doc])], ["node", "root", "apart", "value", "share"])
         release_memory()
 
-    held = materialize(nodes.join(texts, "node").select("node", "root", "text").mapInArrow(run, "node long, root long, value long, share double"), "shingles")
+    held = nodes.join(texts, "node").select("node", "root", "apart", "text").mapInArrow(run, "node long, root long, apart boolean, value long, share double")
+    held = materialize(held, "shingles")
     # a shingle that nodes of one component alone hold can connect nothing
     often = held.groupBy("value").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high"))
     order = Window.partitionBy("node").orderBy("often", "value")
     before = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("share")
-    first = held.join(often, "value").withColumn("before", before).filter(F.col("before") <= 1 - threshold + 1e-9)
-    return first.filter("low <> high").select("value", "node", "root")
+    first = held.filter("apart").join(often, "value").withColumn("before", before).filter(F.col("before") <= 1 - threshold + 1e-9)
+    first = materialize(first.filter("low <> high").select("value", "node"), "rare-first")
+    rows = held.select("value", "node", "root").join(first.select("value").distinct(), "value", "left_semi")
+    return rows.join(first.withColumn("lead", F.lit(True)), ["value", "node"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
 
 
 def _crowded(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -317,15 +321,16 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     # buckets of equal nodes are one
     open_ = open_.groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "value", "main")).alias("b")).select("b.*", "n")
     root = materialize(root.join(open_, ["band", "value"]), "roots")
-    few, many = root.filter(F.col("n") <= CROWD), root.filter(F.col("n") > CROWD).select("node", "root").distinct()
+    few = root.filter(F.col("n") <= CROWD)
+    many = root.filter(F.col("n") > CROWD).groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("apart"))
     rare = materialize(_rare(many, texts, words, threshold), "rare-shingles")
     # a family of texts shares many rare shingles: shingles whose nodes have the same smallest hash are one, twice over
     for seed in (0, 1):
         low = rare.groupBy("value").agg(F.min(F.xxhash64("node", F.lit(seed))).alias("low"))
-        rare = rare.join(low, "value").select(F.col("low").alias("value"), "node", "root").distinct()
+        rare = rare.join(low, "value").groupBy(F.col("low").alias("value"), "node", "root").agg(F.max("lead").alias("lead"))
     n = rare.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
     rare = materialize(rare.join(n.select("value", "n"), "value"), "rare-sets")
-    rest = _apart(few, ["band", "value"], F.col("root") != F.col("main")).unionByName(_apart(rare.filter(F.col("n") <= CROWD), ["value"])).distinct()
+    rest = _apart(few, ["band", "value"], F.col("root") != F.col("main")).unionByName(_apart(rare.filter(F.col("n") <= CROWD), ["value"], F.col("lead"))).distinct()
     rest = materialize(rest.join(near, ["a", "b"], "left_anti"), "rest")
     blocks = _crowded(rare.filter(F.col("n") > CROWD).select("value", "node", "root"), texts, words, threshold)
     more = materialize(_verified(rest, texts, words, threshold).unionByName(blocks), "more-links")
