@@ -237,8 +237,9 @@ def test_near_duplicates(docs, none, monkeypatch):
     for k in range(n):
         groups.setdefault(top(k), []).append(rows[k][0])
     want = Counter((d, min((x for x in g if x is not None), default=None)) for g in groups.values() for d in g)
-    for crowd in (32, 1):
+    for crowd, huge in ((32, 6400), (1, 6400), (1, 1)):
         monkeypatch.setattr(neardup, "CROWD", crowd)
+        monkeypatch.setattr(neardup, "HUGE", huge)
         assert Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()) == want
     assert neardup.near_duplicates(none).count() == 0
 

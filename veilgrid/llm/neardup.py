@@ -6,8 +6,8 @@ every slot's. Two signatures agree in a slot with the probability Jaccard simila
 
 Equal texts are one node. Nodes that agree in a band share a bucket. In a bucket every node is compared with three leaders,
 never all with all; nodes that this leaves outside their bucket's largest component are then compared with the bucket's
-nodes of other components. Small buckets do that pair by pair. The nodes of crowded ones meet by rare shingles instead: of
-two texts that reach the threshold, each holds at least that share of its weight in common shingles, so the rarest common
+nodes of other components. Small buckets do that pair by pair, crowded ones (over CROWD nodes) block by block with matrix
+products. The nodes of huge ones (over HUGE) would be too many pairs of blocks and meet by rare shingles instead: of two texts that reach the threshold, each holds at least that share of its weight in common shingles, so the rarest common
 one lies among each text's rarest shingles of just over the other share. Only nodes of different components that meet
 there are compared; shingles that many of them hold are worked off in blocks of bounded size with matrix products.
 So every pair that shares a bucket is verified, shown to be below the threshold or already connected, and no link between
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release_memory, text_key
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
-CROWD, BLOCK = 32, 400
+CROWD, BLOCK, HUGE = 32, 400, 6_400
 _CHUNK = 1_000_000  # bytes of text looked at together; a longer text is alone
 _M = np.uint64(0xFFFFFFFFFFFF)
 _random = np.random.default_rng(8)
@@ -256,8 +256,8 @@ def _rare(nodes: DataFrame, texts: DataFrame, words: int, threshold: float) -> D
 
 def _crowded(rows: DataFrame, texts: DataFrame, words: int, threshold: float) -> DataFrame:
     """Links among rows(value, node, root) that share a value: each pair of blocks of a value is a task's work."""
-    sized = rows.join(texts, "node")
-    n = sized.groupBy("value").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / (_CHUNK // 2))).cast("int").alias("blocks"))
+    sized = rows.join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    n = sized.groupBy("value").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / (_CHUNK // 2)), F.lit(1)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.join(n, "value").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "root")
@@ -322,7 +322,9 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     open_ = open_.groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "value", "main")).alias("b")).select("b.*", "n")
     root = materialize(root.join(open_, ["band", "value"]), "roots")
     few = root.filter(F.col("n") <= CROWD)
-    many = root.filter(F.col("n") > CROWD).groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("apart"))
+    # two buckets of one hash are one larger bucket
+    crowded = root.filter((F.col("n") > CROWD) & (F.col("n") <= HUGE)).select(F.xxhash64("band", "value").alias("value"), "node", "root")
+    many = root.filter((F.col("n") > CROWD) & (F.col("n") > HUGE)).groupBy("node", "root").agg(F.max(F.col("root") != F.col("main")).alias("apart"))
     rare = materialize(_rare(many, texts, words, threshold), "rare-shingles")
     # a family of texts shares many rare shingles: shingles whose nodes have the same smallest hash are one, twice over
     for seed in (0, 1):
@@ -332,7 +334,7 @@ def classes(df: DataFrame, *, words: int = WORDS, threshold: float = THRESHOLD,
     rare = materialize(rare.join(n.select("value", "n"), "value"), "rare-sets")
     rest = _apart(few, ["band", "value"], F.col("root") != F.col("main")).unionByName(_apart(rare.filter(F.col("n") <= CROWD), ["value"], F.col("lead"))).distinct()
     rest = materialize(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    blocks = _crowded(rare.filter(F.col("n") > CROWD).select("value", "node", "root"), texts, words, threshold)
+    blocks = _crowded(crowded.unionByName(rare.filter(F.col("n") > CROWD).select("value", "node", "root")), texts, words, threshold)
     more = materialize(_verified(rest, texts, words, threshold).unionByName(blocks), "more-links")
     if not more.isEmpty():
         # what is connected already enters as stars
