@@ -150,6 +150,31 @@ def test_language_id(spark, docs, none):
     assert {r.lang_pred for r in langid.identify(docs, F.lit(False), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_id_of_other_scripts_against_brute_force(spark, monkeypatch):
+    """Languages of one script differ, and sums made in parts equal a bundle made trigram by trigram."""
+    words = {"ru": "и не на что дом", "bg": "и не на какво къща", "uk": "і не на що дім", "el": "και δεν στο σπίτι", "he": "לא את של בית", "ja": "です ます した 家"}
+    rows = [(k, lang, " ".join(rnd.choice(words[lang].split()) for _ in range(25))) for k, lang in enumerate([*words] * 8)]
+    monkeypatch.setattr(langid, "PENDING", 200)
+    monkeypatch.setattr(langid, "DISTINCT", 50)
+    monkeypatch.setattr(langid, "KEPT", 20)
+    parts = langid._Bundles()
+    sums = {lang: np.zeros(langid.DIM) for lang in words}
+    for _, lang, text in rows[:24]:
+        parts.add(lang, langid.trigrams(text))
+        for g in langid.trigrams(text):
+            sums[lang] += langid.gram_vectors(np.array([g]))[0]
+    found = parts.all()
+    assert all((found[lang] == sums[lang]).all() for lang in words)
+    profiles = langid.Profiles(sorted(words), np.stack([sums[lang] for lang in sorted(words)]))
+    for _, lang, text in rows[24:]:
+        v = sum(langid.gram_vectors(np.array([g]))[0].astype(float) for g in langid.trigrams(text))
+        best = max((float(v @ sums[x] / np.linalg.norm(v) / np.linalg.norm(sums[x])), x) for x in words)
+        pred, score = profiles.predict(text)
+        assert pred == best[1] == lang and abs(score - best[0]) < 1e-4
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert all(r.lang_pred == r.lang for r in langid.identify(df, F.col("doc_id") < 24, ["doc_id", "lang"]).collect())
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
