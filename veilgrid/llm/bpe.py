@@ -23,6 +23,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Marks that often end a piece; next to each other they are one run.
 _ENDS = ".,;:!?#&"
 _BATCH_CHARS = 2_000_000
+_SLICE_CHARS = 8_000_000
 
 
 class _Memo(dict):
@@ -58,6 +60,12 @@ class _Memo(dict):
         return value
 
 
+def _taken(sizes: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and values, end to end, of the lists picked from those that sizes and flat hold."""
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), flat)
+    return sizes[which], lists.take(pa.array(which)).flatten().to_numpy()
+
+
 class PieceEncoder:
     """Encodes texts to id arrays. ``split`` says that white space separates pre-tokens (checked against the file)."""
 
@@ -87,7 +95,7 @@ class PieceEncoder:
         # byte-level letters: printable bytes stand for themselves, the others for 256 and on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
-        self.leaf, self.memo = leaf, _Memo(self._piece, memo, 4)
+        self.leaf, self.memo = leaf, _Memo(self._piece, memo, 2)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,14 +122,63 @@ class PieceEncoder:
         return (np.frombuffer(raw, "<u4") for raw in self.encode_raw(texts))
 
     def encode_raw(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers in input order, one text at a time."""
-        ids_of = self.memo.__getitem__
+        """Ids as little-endian unsigned 32-bit integers in input order, by slices of texts."""
+        some: list[str] = []
+        size = 0
         for t in texts:
-            t = t or ""
+            some.append(t or "")
+            size += len(some[-1])
+            if size >= _SLICE_CHARS:
+                yield from self._slice(some)
+                some, size = [], 0
+        yield from self._slice(some)
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text: whole, piece by piece, or (texts lowered as one) from the distinct pieces of all."""
+        out, low, places = [b""] * len(texts), [], []
+        ids_of = self.memo.__getitem__
+        for k, t in enumerate(texts):
             if not self.split or _DOUBTFUL.search(t):
-                yield self._whole([t])[0]
+                out[k] = self._whole([t])[0]
+            elif self._lowers(t):
+                low.append(t.lower())
+                places.append(k)
             else:
-                yield b"".join(map(ids_of, (t.lower() if self._lowers(t) else t).split()))
+                out[k] = b"".join(map(ids_of, t.split()))
+        for k, raw in zip(places, self._by_pieces(low), strict=True):
+            out[k] = raw
+        return out
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        """As piece by piece, but from the distinct pieces of all texts, and these from their distinct words.
+
+        Arrow and Python agree on white space and letters in texts that pass ``_lowers``; Arrow's empty pieces have no ids.
+        """
+        if not texts:
+            return []
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        column = lists.flatten().dictionary_encode()
+        pieces, words = column.dictionary, self.words
+        core = pc.utf8_rtrim(pieces, _ENDS)
+        tail = pc.subtract(pc.binary_length(pieces), pc.binary_length(core)).to_numpy()
+        # letters, then marks: a word and a tail; any other piece is its own word
+        easy = pc.and_not(pc.and_(pc.utf8_is_alpha(core), pc.less_equal(pc.utf8_length(pieces), self.leaf)), pc.match_substring_regex(core, "[\u0080-\u00bf]"))
+        firsts = pc.if_else(easy, core, pieces).dictionary_encode()
+        plain = np.zeros(len(firsts.dictionary), bool)
+        plain[firsts.indices.to_numpy()] = easy.to_numpy(zero_copy_only=False)
+        found = [words[x] if p else self.memo[x] for x, p in zip(firsts.dictionary.to_pylist(), plain.tolist(), strict=True)]
+        ended = np.flatnonzero((tail > 0) & easy.to_numpy(zero_copy_only=False))
+        ends = pa.array([x[-n:] for x, n in zip(pieces.take(pa.array(ended)).to_pylist(), tail[ended].tolist(), strict=True)], pa.string()).dictionary_encode()
+        none = len(found)
+        found += [b"", *(words[x] for x in ends.dictionary.to_pylist())]
+        parts = np.full((len(pieces), 2), none, np.int64)
+        parts[:, 0] = firsts.indices.to_numpy()
+        parts[ended, 1] = ends.indices.to_numpy() + none + 1
+        sizes, ids = _taken(np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4"), parts.ravel())
+        sizes, ids = _taken(sizes.reshape(-1, 2).sum(axis=1), ids, column.indices.to_numpy())
+        at = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()] * 4
+        raw = memoryview(ids).cast("B")
+        return [bytes(raw[a:b]) for a, b in itertools.pairwise(at.tolist())]
 
     def _lowers(self, text: str) -> bool:
         """Whether lower-casing all of text is what the normalizer does: its characters are lowered one by one, and it names no special token."""
