@@ -50,28 +50,36 @@ def _by_slots(left: np.ndarray, right: np.ndarray, least: int, most: int, turn:
     Another hash each turn, as a slot counts its first pair only.
     """
     odd = np.uint32(0x85EBCA6B + 2 * turn * 0x51ED270B & 0xFFFFFFFF)
-    slot = ((left * np.uint32(0x9E3779B1)) ^ (right * odd)) >> np.uint32(12)
+    slot = (((left * np.uint32(0x9E3779B1)) ^ (right * odd)) >> np.uint32(12)).astype(np.intp)
     count = np.bincount(slot, minlength=_SLOTS)
     often = np.flatnonzero(count >= least)
-    maybe = np.flatnonzero((count >= least).take(slot))
     top = often
     if len(top) > 4 * most:
         top = top[np.argpartition(-count[top], 4 * most)[: 4 * most]]
-    rank = np.full(_SLOTS, -1, np.int32)
+    # each place's rank among the top slots; -1: a frequent slot, -2: none
+    rank = np.full(_SLOTS, -2, np.int32)
+    rank[often] = -1
     rank[top] = np.arange(len(top))
-    r = rank.take(slot[maybe])
-    at = maybe[r >= 0] if len(top) < len(often) else maybe
-    r = r[r >= 0]
-    pair = np.zeros((len(top), 2), np.uint32)
-    a, b = left[at], right[at]
-    pair[r[::-1], 0], pair[r[::-1], 1] = a[::-1], b[::-1]  # the first pair met stands for its slot
-    same = (pair[:, 0].take(r) == a) & (pair[:, 1].take(r) == b)
-    keep = _choose(pair, np.bincount(r[same], minlength=len(top)), least, most)
+    of_place = rank.take(slot)
+    maybe, at = np.flatnonzero(of_place > -2), np.flatnonzero(of_place >= 0)
+    r = of_place.take(at).astype(np.intp)
+    key = left.take(at).astype(np.uint64) << np.uint64(32) | right.take(at)
+    pair_key = np.zeros(len(top), np.uint64)
+    pair_key[r[::-1]] = key[::-1]  # the first pair met stands for its slot
+    same = np.flatnonzero(pair_key.take(r) == key)
+    r = r.take(same)
+    pair = _halves(pair_key)
+    keep = _choose(pair, np.bincount(r, minlength=len(top)), least, most)
     number = np.full(len(top), -1, np.int32)
     number[keep] = np.arange(len(keep))
-    rule = number[r]
-    ok = same & (rule >= 0)
-    return at[ok], rule[ok], pair[keep], maybe
+    rule = number.take(r)
+    ok = np.flatnonzero(rule >= 0)
+    return at.take(same.take(ok)), rule.take(ok), pair[keep], maybe
+
+
+def _halves(key: np.ndarray) -> np.ndarray:
+    """Pairs of symbols from their 64-bit keys."""
+    return np.stack([key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
 
 def _exactly(left: np.ndarray, right: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +87,7 @@ def _exactly(left: np.ndarray, right: np.ndarray, least: int, most: int) -> tupl
     key = (left.astype(np.uint64) << np.uint64(32)) | right
     kinds, which, count = np.unique(key, return_inverse=True, return_counts=True)
     often = np.flatnonzero(count >= least)
-    pair = np.stack([kinds[often] >> np.uint64(32), kinds[often] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    pair = _halves(kinds[often])
     keep = _choose(pair, count[often], least, most)
     number = np.full(len(kinds), -1, np.int32)
     number[often[keep]] = np.arange(len(keep))
@@ -108,29 +116,32 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, first_free: int, most: in
     after, before = np.arange(1, size + 1, dtype=np.int32), np.arange(-1, size - 1, dtype=np.int32)
     after[ends - 1] = size
     before[np.concatenate([[0], ends[:-1]])] = size
+    after, before = np.append(after, np.int32(size)), np.append(before, np.int32(size))
     gone = np.zeros(size + 1, bool)
-    gone[size] = True
     where = np.flatnonzero(after < size)
     rules, n, turn = [np.empty((0, 2), np.uint32)], 0, 0
     while len(where):
-        follow = after[where]
+        follow = after.take(where)
+        left, right = seq.take(where), seq.take(follow)
         exact = len(where) <= FEW
-        at, rule, pairs, maybe = _exactly(seq[where], seq[follow], least, most) if exact else _by_slots(seq[where], seq[follow], least, most, turn)
+        at, rule, pairs, maybe = _exactly(left, right, least, most) if exact else _by_slots(left, right, least, most, turn)
         turn += 1
         if exact and not len(pairs):
             break
-        at, rule = _from_left(where[at], rule, pairs, follow[at])
-        second = after[at]
+        at, rule = _from_left(where.take(at), rule, pairs, follow.take(at))
+        second = after.take(at)
+        third = after.take(second)
         seq[at] = (first_free + n + rule).astype(np.uint32)
         gone[second] = True
-        after[at] = third = after[second]
-        inner = third < size
-        before[third[inner]] = at[inner]
-        beside = np.concatenate([where[maybe], at, before[at]])
-        beside = beside[~gone[beside]]
-        mark = np.zeros(size, bool)
-        mark[beside[after[beside] < size]] = True
-        where = np.flatnonzero(mark)
+        after[at] = third
+        before[third] = at  # the place ``size`` is written, never read
+        look = np.zeros(size + 1, bool)
+        look[where.take(maybe)] = True
+        look[at] = True
+        look[before.take(at)] = True
+        look[size] = False
+        where = np.flatnonzero(look)
+        where = where[~gone.take(where) & (after.take(where) < size)]
         rules.append(pairs)
         n += len(pairs)
     alive = ~gone[:size]
