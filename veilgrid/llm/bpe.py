@@ -72,6 +72,7 @@ class PieceEncoder:
     def __init__(self, path: str, memo: int = 200_000, leaf: int = 2048):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -95,6 +96,18 @@ class PieceEncoder:
         # byte-level letters: printable bytes stand for themselves, the others for 256 and on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        table = np.arange(256, dtype="<u2")
+        table[[b for b in self.letters if b != 32]] = [ord(x) for b, x in self.letters.items() if b != 32]
+        self.table = table
+        # where a suffix marks the last token of a word, many words are merged in one call and told apart after
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.line = Tokenizer(self.bare.model)
+        self.line.pre_tokenizer = WhitespaceSplit()
+        self.last = np.zeros(self.vocab_size, bool)
+        self.last[[k for token, k in spec["model"]["vocab"].items() if suffix and token.endswith(suffix)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = memo // 2
         self.leaf, self.memo = leaf, _Memo(self._piece, memo, 2)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -117,6 +130,28 @@ class PieceEncoder:
         known = self.id_bytes
         return b"".join([known[t.id] for t in self.merge(word)])
 
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of letters. New ones are merged in one call and kept for two generations of the memo."""
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        gone = [k for k, x in enumerate(out) if x is None]
+        for k in gone:
+            out[k] = old.get(words[k])
+        new = [k for k in gone if out[k] is None]
+        line = self.table[np.frombuffer(" ".join([words[k] for k in new]).encode(), "u1")].tobytes().decode("utf-16-le")
+        ids = np.asarray(self.line.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        cuts = 4 * (np.flatnonzero(self.last[ids]) + 1)
+        if len(cuts) != len(new):
+            return [self.words[w] for w in words]
+        raw, begin = ids.tobytes(), 0
+        for k, end in zip(new, cuts.tolist(), strict=True):
+            out[k] = raw[begin:end]
+            begin = end
+        if len(young) + len(gone) > self.half:
+            self.old, self.young = young, {}
+        self.young.update((words[k], out[k]) for k in gone)
+        return out
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Id arrays (uint32) in input order."""
         return (np.frombuffer(raw, "<u4") for raw in self.encode_raw(texts))
@@ -166,7 +201,9 @@ class PieceEncoder:
         firsts = pc.if_else(easy, core, pieces).dictionary_encode()
         plain = np.zeros(len(firsts.dictionary), bool)
         plain[firsts.indices.to_numpy()] = easy.to_numpy(zero_copy_only=False)
-        found = [words[x] if p else self.memo[x] for x, p in zip(firsts.dictionary.to_pylist(), plain.tolist(), strict=True)]
+        kinds = firsts.dictionary.to_pylist()
+        merged = iter(self._merged(list(itertools.compress(kinds, plain.tolist()))))
+        found = [next(merged) if p else self.memo[x] for x, p in zip(kinds, plain.tolist(), strict=True)]
         ended = np.flatnonzero((tail > 0) & easy.to_numpy(zero_copy_only=False))
         ends = pa.array([x[-n:] for x, n in zip(pieces.take(pa.array(ended)).to_pylist(), tail[ended].tolist(), strict=True)], pa.string()).dictionary_encode()
         none = len(found)
