@@ -15,6 +15,7 @@ new symbol. No other pair can become frequent, as replacing never puts two old s
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -24,24 +25,30 @@ LEAST, MOST, FEW = 6, 16_384, 300_000
 _SLOTS = 1 << 20
 
 
-def _choose(pairs: np.ndarray, counts: np.ndarray, least: int, most: int) -> list[int]:
-    """The most frequent pairs whose symbols keep to one role."""
-    role: dict[int, int] = {}  # 0 left, 1 right, 2 both
-    keep: list[int] = []
-    order = np.lexsort((pairs[:, 1], pairs[:, 0], -counts))
-    for k, a, b, n in zip(order.tolist(), pairs[order, 0].tolist(), pairs[order, 1].tolist(), counts[order].tolist(), strict=True):
-        if n < least or len(keep) >= most:
-            break
-        if a == b:
-            if a in role:
-                continue
-            role[a] = 2
-        elif role.get(a, 0) or role.get(b, 1) != 1:
-            continue
-        else:
-            role[a], role[b] = 0, 1
-        keep.append(k)
-    return keep
+def _choose(pairs: np.ndarray, counts: np.ndarray, least: int, most: int) -> np.ndarray:
+    """The most frequent pairs whose symbols keep to one role, which the first pair kept gives a symbol.
+
+    In each turn all pairs are settled before which no open pair has a symbol of theirs without a role.
+    """
+    order = np.flatnonzero(counts >= least)
+    order = order[np.lexsort((pairs[order, 1], pairs[order, 0], -counts[order]))]
+    left, right = pairs[order].T.astype(np.intp)
+    role = np.zeros(int(pairs.max(initial=0)) + 1, np.int8)  # 1 left, 2 right, 3 both
+    first = np.zeros(len(role), np.int64)
+    keep, rest = np.zeros(len(order), bool), np.arange(len(order))
+    while len(rest):
+        a, b = left[rest], right[rest]
+        fits = (role[a] <= (a != b)) & (role[b] % 2 == 0)
+        rest, a, b = rest[fits], a[fits], b[fits]
+        place = np.arange(len(rest))
+        first[np.stack([a, b], axis=1).ravel()[::-1]] = np.repeat(place, 2)[::-1]
+        sure = ((role[a] == 1) | (first[a] == place)) & ((role[b] == 2) | (first[b] == place))
+        keep[rest[sure]] = True
+        role[a[sure]] = 1
+        role[b[sure]] = 2
+        role[a[sure & (a == b)]] = 3
+        rest = rest[~sure]
+    return order[np.flatnonzero(keep)[:most]]
 
 
 def _by_slots(left: np.ndarray, right: np.ndarray, least: int, most: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,9 +105,10 @@ def _exactly(left: np.ndarray, right: np.ndarray, least: int, most: int) -> tupl
 
 def _from_left(at: np.ndarray, rule: np.ndarray, pairs: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Without every second place of a run of one symbol, as those overlap the places before. after: each place's next."""
-    equal = (pairs[:, 0] == pairs[:, 1])[rule]
-    if not equal.any():
+    twins = pairs[:, 0] == pairs[:, 1]
+    if not twins.any():
         return at, rule
+    equal = twins.take(rule)
     fresh = np.concatenate([[True], (at[1:] != after[:-1]) | ~equal[1:] | (rule[1:] != rule[:-1])])
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
     stay = ~equal | ((np.arange(len(at)) - start) % 2 == 0)
@@ -117,8 +125,9 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, first_free: int, most: in
     after[ends - 1] = size
     before[np.concatenate([[0], ends[:-1]])] = size
     after, before = np.append(after, np.int32(size)), np.append(before, np.int32(size))
-    gone = np.zeros(size + 1, bool)
-    where = np.flatnonzero(after < size)
+    gone, pairable = np.zeros(size, bool), after < size  # no longer in the list; has a next place
+    pairable[size] = False
+    where = np.flatnonzero(pairable)
     rules, n, turn = [np.empty((0, 2), np.uint32)], 0, 0
     while len(where):
         follow = after.take(where)
@@ -133,27 +142,37 @@ def compress(ids: np.ndarray, doc_lengths: np.ndarray, first_free: int, most: in
         third = after.take(second)
         seq[at] = (first_free + n + rule).astype(np.uint32)
         gone[second] = True
+        pairable[second] = False
+        pairable[at] = third < size
         after[at] = third
         before[third] = at  # the place ``size`` is written, never read
         look = np.zeros(size + 1, bool)
         look[where.take(maybe)] = True
         look[at] = True
         look[before.take(at)] = True
-        look[size] = False
-        where = np.flatnonzero(look)
-        where = where[~gone.take(where) & (after.take(where) < size)]
+        where = np.flatnonzero(look & pairable)
         rules.append(pairs)
         n += len(pairs)
-    alive = ~gone[:size]
+    alive = ~gone
     return seq[alive], np.concatenate(rules), np.diff(np.concatenate([[0], np.cumsum(alive)[ends - 1]]))
 
 
+def _blocks(rules: np.ndarray, first_free: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules that use only ids and rules before the range."""
+    uses = np.maximum.accumulate(rules.max(axis=1, initial=0).astype(np.int64) - first_free) if len(rules) else np.empty(0)
+    begin = 0
+    while begin < len(rules):
+        end = int(np.searchsorted(uses, begin))
+        yield begin, end
+        begin = end
+
+
 def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
     """Ids that each rule expands to; a rule uses only ids and earlier rules."""
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - first_free] if a >= first_free else 1) + (out[b - first_free] if b >= first_free else 1)
-    return out
+    size = np.ones(first_free + len(rules), np.int64)
+    for begin, end in _blocks(rules, first_free):
+        size[first_free + begin : first_free + end] = size[rules[begin:end]].sum(axis=1)
+    return size[first_free:]
 
 
 def pack(doc_ids: np.ndarray, valid: np.ndarray, doc_lengths: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
@@ -192,10 +211,10 @@ class Shard:
         self.at = np.concatenate([np.arange(self.vocab), self.vocab + np.cumsum(lengths) - lengths]).astype(np.int64)
         self.flat = np.empty(self.vocab + int(lengths.sum()), "<u4")
         self.flat[: self.vocab] = np.arange(self.vocab)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            to, mid = self.at[self.vocab + k], self.size[a]
-            self.flat[to : to + mid] = self.flat[self.at[a] : self.at[a] + mid]
-            self.flat[to + mid : to + mid + self.size[b]] = self.flat[self.at[b] : self.at[b] + self.size[b]]
+        for begin, end in _blocks(self.rules, self.vocab):
+            own = self.expand(self.rules[begin:end].ravel())
+            to = self.at[self.vocab + begin]
+            self.flat[to : to + len(own)] = own
         self.ends = np.cumsum(self.symbols)
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
