@@ -60,6 +60,11 @@ class _Memo(dict):
         return value
 
 
+def _strings(column: pa.Array) -> list[str]:
+    """As to_pylist, without a scalar for each value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _taken(sizes: np.ndarray, flat: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes and values, end to end, of the lists picked from those that sizes and flat hold."""
     lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), flat)
@@ -201,11 +206,11 @@ class PieceEncoder:
         firsts = pc.if_else(easy, core, pieces).dictionary_encode()
         plain = np.zeros(len(firsts.dictionary), bool)
         plain[firsts.indices.to_numpy()] = easy.to_numpy(zero_copy_only=False)
-        kinds = firsts.dictionary.to_pylist()
+        kinds = _strings(firsts.dictionary)
         merged = iter(self._merged(list(itertools.compress(kinds, plain.tolist()))))
         found = [next(merged) if p else self.memo[x] for x, p in zip(kinds, plain.tolist(), strict=True)]
         ended = np.flatnonzero((tail > 0) & easy.to_numpy(zero_copy_only=False))
-        ends = pa.array([x[-n:] for x, n in zip(pieces.take(pa.array(ended)).to_pylist(), tail[ended].tolist(), strict=True)], pa.string()).dictionary_encode()
+        ends = pa.array([x[-n:] for x, n in zip(_strings(pieces.take(pa.array(ended))), tail[ended].tolist(), strict=True)], pa.string()).dictionary_encode()
         none = len(found)
         found += [b"", *(words[x] for x in ends.dictionary.to_pylist())]
         parts = np.full((len(pieces), 2), none, np.int64)
