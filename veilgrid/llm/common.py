@@ -74,5 +74,14 @@ def release_memory(keep: str = "") -> None:
         libc.malloc_trim(0)
 
 
+def keep_memory() -> None:
+    """Let large arrays be reused from the heap instead of being mapped anew, until ``release_memory`` gives them back."""
+    import ctypes
+
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 28)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

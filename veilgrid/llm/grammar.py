@@ -68,12 +68,14 @@ def _by_slots(left: np.ndarray, right: np.ndarray, least: int, most: int, turn:
     rank[often] = -1
     rank[top] = np.arange(len(top))
     of_place = rank.take(slot)
+    del slot, count
     maybe, at = np.flatnonzero(of_place > -2), np.flatnonzero(of_place >= 0)
     r = of_place.take(at).astype(np.intp)
     key = left.take(at).astype(np.uint64) << np.uint64(32) | right.take(at)
     pair_key = np.zeros(len(top), np.uint64)
     pair_key[r[::-1]] = key[::-1]  # the first pair met stands for its slot
     same = np.flatnonzero(pair_key.take(r) == key)
+    del key
     r = r.take(same)
     pair = _halves(pair_key)
     keep = _choose(pair, np.bincount(r, minlength=len(top)), least, most)
@@ -108,10 +110,12 @@ def _from_left(at: np.ndarray, rule: np.ndarray, pairs: np.ndarray, after: np.nd
     twins = pairs[:, 0] == pairs[:, 1]
     if not twins.any():
         return at, rule
-    equal = twins.take(rule)
-    fresh = np.concatenate([[True], (at[1:] != after[:-1]) | ~equal[1:] | (rule[1:] != rule[:-1])])
-    start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-    stay = ~equal | ((np.arange(len(at)) - start) % 2 == 0)
+    equal = np.flatnonzero(twins.take(rule))
+    place, follow, of = at.take(equal), after.take(equal), rule.take(equal)
+    fresh = np.concatenate([[True], (place[1:] != follow[:-1]) | (of[1:] != of[:-1])])[: len(equal)]
+    turn = np.arange(len(equal))
+    stay = np.ones(len(at), bool)
+    stay[equal[(turn - np.maximum.accumulate(np.where(fresh, turn, 0))) % 2 == 1]] = False
     return at[stay], rule[stay]
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import release_memory
+from .common import keep_memory, release_memory
 from .grammar import Shard, pack
 
 _SCHEMA = "part int, shard int, n_ids long, n_docs long, payload binary"
@@ -29,6 +29,7 @@ def write_tokens(df: DataFrame, tokenizer: str, path: str, *, end_id: int = 1, s
     """df(doc_id, text) -> the shard table at path."""
 
     def run(batches):
+        keep_memory()
         enc, part, number = encoder(tokenizer, memo), TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[bytes] = []
