@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,23 @@ def test_encode_decode(docs, none):
     assert bpe.encode_decode(none, queries.tokenizer_path()).count() == 0
 
 
+def test_slices_of_texts_encode_as_the_library(monkeypatch):
+    tok = _tok()
+    rng = random.Random(5)
+    letters = [*map(chr, range(32, 127)), *map(chr, range(0x80, 0x250))] + [" ", "\n", ".", ",", "#", "\u00e9", "<|", "a", "b", "\x1d", "\u03a9", "\u0301"] * 20
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(4000)]
+    texts += [w + e for w in ("Hello", "\u00c9T\u00c9", "\u00b5m", "\u00aab", "a" * 3000) for e in ("", ".", ",.", "&#", "\x85", "\xa0x")] + ["", None]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for chars, memo in ((100, 50), (20_000, 500), (8_000_000, 400_000)):  # generations of the memo turn in the first two
+        monkeypatch.setattr(bpe, "_SLICE_CHARS", chars)
+        assert list(bpe.PieceEncoder(queries.tokenizer_path(), memo).encode_raw(texts)) == want
+    # what lets Arrow cut and judge pieces as Python does
+    some = [chr(c) for c in range(0x250) if not 0x1C <= c <= 0x1F]
+    cut = pa.compute.utf8_split_whitespace(pa.array([f"a{c}b" for c in some])).to_pylist()
+    assert [[x for x in xs if x] for xs in cut] == [f"a{c}b".split() for c in some]
+    assert all(a == c.isalpha() for c, a in zip(some, pa.compute.utf8_is_alpha(pa.array(some)).to_pylist(), strict=True) if not "\x80" <= c <= "\xbf")
+
+
 def test_tree_concatenation_is_exact():
     enc = bpe.PieceEncoder(queries.tokenizer_path(), leaf=48)
     parts = ["the", "tion", "a", "é", "!", "'s", "'re", "1", "İ", "Σ", "한", "😀", "$$$", "x" * 9]
@@ -100,6 +118,20 @@ def test_grammar_round_trip_and_random_access():
             assert np.array_equal(s.document(k), own) and np.array_equal(s.document(k, 3, 9), own[3:9])
 
 
+def test_grammar_chooses_pairs_one_by_one():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pairs = np.unique(rng.integers(0, 12, (40, 2)), axis=0).astype(np.uint32)
+        counts = rng.integers(1, 20, len(pairs))
+        role, want = {}, []
+        for k in sorted(range(len(pairs)), key=lambda k: (-counts[k], *pairs[k].tolist())):
+            a, b = pairs[k].tolist()
+            if counts[k] >= 3 and (a not in role and b not in role if a == b else role.get(a, "l") == "l" and role.get(b, "r") == "r"):
+                role |= {a: "both"} if a == b else {a: "l", b: "r"}
+                want.append(k)
+        assert grammar._choose(pairs, counts, 3, 5).tolist() == want[:5]
+
+
 def test_grammar_replaces_every_pair_that_pays():
     rng = np.random.default_rng(4)
     ids = np.concatenate([rng.integers(0, 40, 6000), np.zeros(500, int), np.tile([7, 7, 9], 200)]).astype(np.uint32)
