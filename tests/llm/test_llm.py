@@ -413,3 +413,50 @@ def test_pipeline_against_brute_force(spark, docs, none, tmp_path):
     assert pa.__version__
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, none.select(*corpus_pipeline.COLUMNS), str(tmp_path)).count() == 0
+
+
+def _scan_in_sql(spark, name, rows, folder):
+    """The rows of an op3 query over documents (doc_id, source, text), and of its SQL."""
+    import duckdb
+
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.coalesce(1).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    got = [tuple(r) for r in queries.QUERIES[name](spark, str(folder)).collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return sorted(got, key=str), sorted(con.sql(queries.ORACLES[name]).fetchall(), key=str)
+
+
+def _licence_rows():
+    from pathlib import Path
+
+    whole = {p.stem: p.read_text() for p in Path(licences.__file__).with_name("licence_texts").glob("*.txt")}
+    prose = "\n".join(_text(12) + " the tool and its users are of that kind." for _ in range(30))
+    notice = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n *\n * You should have"
+    return [
+        *[(k, "Copyright (c) 2019 Jane Doe\n\n" + t) for k, t in sorted(whole.items())],
+        ("MIT", "# Copyright (c) 2019 Jane Doe. Released under the MIT License.\nimport os"), ("MIT", "# This file is released under the MIT License,\n# see there."),
+        ("MIT", prose + "\n\n" + whole["MIT"].split("\n", 2)[2] + "\n" + prose), ("ISC", "/*\n * " + whole["ISC"].split("\n", 2)[2].split("\n\n")[0].replace("\n", "\n * ") + "\n */\nint main;"),
+        ("GPL-3.0", notice.format(3)), ("GPL-2.0", notice.format(2)), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\nint main"), ("Zlib", "/* SPDX-License-Identifier: (Zlib OR zzz-or-later) */\nAll rights reserved."),
+        ("Proprietary", "Copyright 2020 Foo Inc. All rights reserved."), ("Proprietary", "All rights reserved.\x01 more"), (None, "Licensed under the Foo License, Version 2.0"), (None, "mit"), (None, prose), (None, ""), (None, None),
+        (None, "SPDX-License-Identifier: NONE"), ("MIT", "Released under the MIT License."), ("MIT", "Released under the MIT License."),
+    ]
+
+
+def test_whole_licences(spark, docs, none):
+    cases = _licence_rows()
+    df = spark.createDataFrame([(k, f"d{k}/x", t) for k, (_, t) in enumerate(cases)], "doc_id long, path string, text string")
+    out = {r.doc_id: r.own_licence for r in licences.scan(df, F.lit(False), ["doc_id"]).collect()}
+    assert [out[k] for k in range(len(cases))] == [want for want, _ in cases]
+
+
+def test_whole_licences_against_sql(spark, tmp_path):
+    rows = [(k, f"s{k % 3}", t) for k, (_, t) in enumerate(_licence_rows())] + [(3, "s9", "other text of a repeated id"), (1050, None, "inherits nothing"), (1, "s1", "near s1"), (2000, "s1", "Licensed by İapache. MİT LİCENSE İ")]
+    got, want = _scan_in_sql(spark, "op3_licence_texts", rows, tmp_path)
+    assert got == want and {r[5] for r in got} == {"own", "inherited", "none"}
+
+
+def test_licence_lines_against_sql(spark, tmp_path):
+    lines = ["Releaſed under the MIT Licenſe.\nall rights reſerved", "ALL RIGHTſ RESERVED.", "ſpdx released under the mit license", "Redistribution permitted under the MİT license İ", "Licensed under the Apache License, Version 2.0. İstanbul", "nothing here", "", None]
+    got, want = _scan_in_sql(spark, "op3_licence_scan", [(k, f"s{k % 2}", t) for k, t in enumerate(lines)], tmp_path)
+    assert got == want and sum(r[5] == "own" for r in got) > 2
